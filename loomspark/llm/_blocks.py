@@ -105,12 +105,13 @@ def owners_of(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable, schema: str, limit: int = BLOCK_BYTES) -> DataFrame:
+def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable, schema: str, limit: int = BLOCK_BYTES, facts: DataFrame | None = None) -> DataFrame:
     """Ask the owners of keys about each block's keys and finish each block with their answers.
 
     keys(ids, texts, owners) -> (list of (owner, blob), fingerprint int): the block's distinct keys.
     answer(list of (block, blob)) -> list of (block, blob): of one owner, in the same order of keys.
     finish(ids, texts, {owner: blob}, owners) -> pa.Table: the block's rows.
+    facts: what owners know besides, by owner in column ``k``; then answer gets that table too.
     The fingerprint is compared at the end: should an unstable input have been read twice with
     different rows, the job stops rather than return wrong rows.
     """
@@ -128,10 +129,10 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
                 n = len(parts)
                 yield pa.record_batch([pa.array(x, t.type) for x, t in zip([[p for p, _ in parts], [KEYS] * n, [block] * n, [check] * n, [b for _, b in parts]], _KEY)], schema=_KEY)
 
-    def reply(t: pa.Table) -> pa.Table:
+    def reply(t: pa.Table, *known: pa.Table) -> pa.Table:
         t = t.filter(pc.equal(t["kind"], KEYS))
         block, check = t["block"].to_pylist(), dict(zip(t["block"].to_pylist(), t["check"].to_pylist()))
-        out = list(answer(list(zip(block, t["blob"].to_pylist())))) if block else []
+        out = list(answer(list(zip(block, t["blob"].to_pylist())), *known)) if block else []
         k = t["k"][0].as_py() if block else 0
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([k] * len(out), pa.int64()), pa.array([check[b] for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["block", "part", "check", "blob"])
 
@@ -148,8 +149,12 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(send, _ROW).repartition(n, "k")
-    replies = dealt.groupBy("k").applyInArrow(reply, _ANSWER).repartition(n, "block")
-    return dealt.groupBy("k").cogroup(replies.groupBy("block")).applyInArrow(end, schema)
+    asked = dealt.groupBy("k")
+    if facts is None:
+        replies = asked.applyInArrow(lambda t: reply(t), _ANSWER)
+    else:
+        replies = asked.cogroup(facts.repartition(n, "k").groupBy("k")).applyInArrow(lambda t, f: reply(t, f), _ANSWER)
+    return dealt.groupBy("k").cogroup(replies.repartition(n, "block").groupBy("block")).applyInArrow(end, schema)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
