@@ -52,9 +52,9 @@ f as (select key from k where length(key) >= 1 group by key having count(distinc
 select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), '')) as kept_sha256
 from k left join f using (key) group by doc_id""",
     "op10_topk_search": """
-with v as (select vec_id, list_transform(embedding, x -> cast(floor(256 * x::double) as bigint)) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) as bigint) as score
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5""",
