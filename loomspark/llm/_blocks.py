@@ -192,3 +192,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_mod(col: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
+
+
+def total(parts: DataFrame, shards: int) -> list[np.ndarray]:
+    """Sums of float vectors that many tasks made, each cut into ``shards`` rows (shard long, blob binary).
+
+    The rows of a shard are added one after another, so memory doesn't grow with the tasks; only
+    one row per shard reaches the driver.
+    """
+
+    def add(it):
+        sums: dict[int, np.ndarray] = {}
+        for b in it:
+            for s, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = unpack(blob)[0]
+                sums[s] = sums[s] + v if s in sums else v.astype(np.float64)
+        for s, v in sums.items():
+            yield pa.record_batch([pa.array([s]), pa.array([pack(v)], pa.binary())], ["shard", "blob"])
+
+    n = min(shards, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    got = dict(parts.repartition(n, "shard").mapInArrow(add, "shard long, blob binary").collect())
+    return [unpack(bytes(got[s]))[0] if s in got else np.zeros(0) for s in range(shards)]
+
+
+def shards_of(v: np.ndarray, shards: int):
+    """One record batch of a vector's rows for total()."""
+    cut = np.array_split(v, shards)
+    return pa.record_batch([pa.array(range(shards), pa.int64()), pa.array([pack(c) for c in cut], pa.binary())], ["shard", "blob"])

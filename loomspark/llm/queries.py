@@ -35,6 +35,20 @@ def op10_topk_search(spark, sf_dir):
     return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op1_quality(spark, sf_dir):
+    from loomspark.llm import quality
+
+    docs = B.documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_language_id(spark, sf_dir):
+    from loomspark.llm import langid
+
+    docs = B.documents(spark, sf_dir)
+    return langid.predict(docs, langid.train(docs))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
