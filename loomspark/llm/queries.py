@@ -49,6 +49,12 @@ def op6_language_id(spark, sf_dir):
     return langid.predict(docs, langid.train(docs))
 
 
+def op9_lm_scores(spark, sf_dir):
+    from loomspark.llm import lm
+
+    return lm.score(B.documents(spark, sf_dir))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
