@@ -55,6 +55,12 @@ def op9_lm_scores(spark, sf_dir):
     return lm.score(B.documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark, sf_dir):
+    from loomspark.llm import near_dedup
+
+    return near_dedup.classes(B.documents(spark, sf_dir))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
