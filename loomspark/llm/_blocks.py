@@ -110,7 +110,7 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
 
     keys(ids, texts, owners) -> (list of (owner, blob), fingerprint int): the block's distinct keys.
     answer(list of (block, blob)) -> list of (block, blob): of one owner, in the same order of keys.
-    finish(ids, texts, {owner: blob}, owners) -> pa.Table: the block's rows.
+    finish(ids, texts, {owner: blob}, owners, block) -> pa.Table: the block's rows.
     facts: what owners know besides, by owner in column ``k``; then answer gets that table too.
     The fingerprint is compared at the end: should an unstable input have been read twice with
     different rows, the job stops rather than return wrong rows.
@@ -141,10 +141,10 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
         left = left.filter(pc.equal(left["kind"], TEXTS))
         if len(left) > 1:
             raise RuntimeError("two blocks of one number: the input changed between reads")
-        for check, blob in zip(left["check"].to_pylist(), left["blob"].to_pylist()):
+        for block, check, blob in zip(left["block"].to_pylist(), left["check"].to_pylist(), left["blob"].to_pylist()):
             if set(right["check"].to_pylist()) - {check}:
                 raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-            out.append(finish(*unpack_texts(blob), dict(zip(right["part"].to_pylist(), right["blob"].to_pylist())), owners))
+            out.append(finish(*unpack_texts(blob), dict(zip(right["part"].to_pylist(), right["blob"].to_pylist())), owners, block))
         return out[0] if out else arrow_schema(schema).empty_table()
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

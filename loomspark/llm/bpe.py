@@ -97,8 +97,12 @@ def gather(codes: np.ndarray, ids: np.ndarray, counts: np.ndarray, bounds: np.nd
     return ids[at], np.concatenate([[0], ends])[bounds]
 
 
-def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Per document: the number of ids, and hashes of the ids and of the text decoded from them."""
+def encoded(docs: DataFrame, tokenizer: str, rows, schema: str) -> DataFrame:
+    """Encode every text and make rows of the ids.
+
+    rows(doc_ids, batches, block) -> pa.Table, where batches yields (ids of some texts after one
+    another, bounds of each text in them).
+    """
 
     def keys(ids, texts, owners):
         _, _, words = word_codes(texts)
@@ -120,7 +124,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
             mine, _ = gather(c, ids, counts, np.zeros(1, np.int64))
             yield block, B.pack(counts[c].astype(np.uint16 if len(c) == 0 or counts[c].max() < 65536 else np.uint32), mine.astype(np.uint16 if len(enc.pieces) <= 65536 else np.uint32))
 
-    def finish(doc_ids, texts, answers, owners):
+    def finish(doc_ids, texts, answers, owners, block):
         codes, off, words = word_codes(texts)
         order, at = split_by(hash64(words) % np.uint64(owners), owners)
         got = [B.unpack(answers[p]) for p in range(owners) if at[p] < at[p + 1]]
@@ -128,16 +132,29 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
         flat = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.uint16)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
+
+        def batches():
+            for i in range(0, len(doc_ids), 500):  # few texts at a time: the ids of all would be large
+                o = off[i : i + 501]
+                yield gather(place[codes[o[0] : o[-1]]], flat, counts, o - o[0])
+
+        return rows(doc_ids, batches(), block)
+
+    return B.exchange(docs, keys, answer, finish, schema)
+
+
+def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """Per document: the number of ids, and hashes of the ids and of the text decoded from them."""
+
+    def rows(doc_ids, batches, _block):
         pieces = encoder(tokenizer).pieces
-        n, one, two = [], [], []
-        for i in range(0, len(doc_ids), 500):  # few texts at a time: ids and pieces of all would be large
-            o = off[i : i + 501]
-            ids, ends = gather(place[codes[o[0] : o[-1]]], flat, counts, o - o[0])
+        n, one, two = [np.empty(0, np.int64)], [], []
+        for ids, ends in batches:
             n.append(np.diff(ends))
             raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
             one += [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(ends, ends[1:])]
-            texts_ = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces.take(pa.array(ids))), " ")
-            two += [hashlib.sha256(x).hexdigest() for x in texts_.cast(pa.binary()).to_pylist()]
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pieces.take(pa.array(ids))), " ")
+            two += [hashlib.sha256(x).hexdigest() for x in texts.cast(pa.binary()).to_pylist()]
         return B.table(SCHEMA, doc_ids, np.concatenate(n), one, two)
 
-    return B.exchange(docs, keys, answer, finish, SCHEMA)
+    return encoded(docs, tokenizer, rows, SCHEMA)

@@ -83,7 +83,7 @@ def _answer(asked):
         at += len(x)
 
 
-def _finish(doc_ids, texts, answers, owners):
+def _finish(doc_ids, texts, answers, owners, _block):
     norm, fp = _prints(texts)
     u, at = _dealt(fp, owners)
     bits = [np.unpackbits(np.frombuffer(answers[p], np.uint8), count=at[p + 1] - at[p]) for p in range(owners) if at[p] < at[p + 1]]

@@ -128,7 +128,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
             hi, lo = B.unpack(blob)
             yield block, np.packbits([x in known for x in zip(hi.astype(np.int64).tolist(), lo.astype(np.int64).tolist())]).tobytes()
 
-    def finish(doc_ids, texts, answers, n):
+    def finish(doc_ids, texts, answers, n, _block):
         lines, doc, code, ask, at, _, _, size = dealt(texts, n)
         drop = np.zeros(size, bool)
         for p in range(n):

@@ -269,7 +269,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield block, B.pack(got[i : i + len(x)].astype(np.int64))
             i += len(x)
 
-    def finish(doc_ids, texts, answers, owners):
+    def finish(doc_ids, texts, answers, owners, _block):
         stream, off, words = tokens(texts)
         h = hash64(words)
         order, at = split_by(h % np.uint64(owners), owners)

@@ -145,7 +145,7 @@ def sampled(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFra
             yield b, B.pack(df[i : i + len(u)])
             i += len(u)
 
-    def finish(doc_ids, texts, answers, owners):
+    def finish(doc_ids, texts, answers, owners, _block):
         each, u, _ = block(texts)
         df = np.concatenate([B.unpack(answers[p])[0] for p in sorted(answers)]) if answers else np.empty(0, np.uint32)
         sampler, seen, out = Sampler(bands * rows), set(), []

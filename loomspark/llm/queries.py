@@ -61,6 +61,12 @@ def op3_near_dedup(spark, sf_dir):
     return near_dedup.classes(B.documents(spark, sf_dir))
 
 
+def op4_packing(spark, sf_dir):
+    from loomspark.llm import packing
+
+    return packing.packed(B.documents(spark, sf_dir), tokenizer_path())
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
