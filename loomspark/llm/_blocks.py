@@ -7,7 +7,7 @@ travel once, as one compressed row per block, to the task that also receives the
 that fills a third of all rows therefore reaches its owner once per block, not once per row, and
 nothing is ever gathered by key on the driver.
 
-``exchange`` wires this up as one plan. Both kinds of row are dealt by one column ``k`` in one
+``deal`` and ``meet`` wire this up as one plan. Both kinds of row are dealt by one column ``k`` in one
 exchange, which Spark runs once and reads twice (once to answer, once to finish).
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Most text bytes of one block; a longer single document is a block of its own.
 BLOCK_BYTES = 24 << 20
-_ROW = "k long, kind byte, block long, check long, blob binary"
+ROW = "k long, kind byte, block long, check long, blob binary"
 _KEY = pa.schema([("k", pa.int64()), ("kind", pa.int8()), ("block", pa.int64()), ("check", pa.int64()), ("blob", pa.binary())])
 _ANSWER = "block long, part long, check long, blob binary"
 TEXTS, KEYS = 0, 1
@@ -105,18 +105,12 @@ def owners_of(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable, schema: str, limit: int = BLOCK_BYTES, facts: DataFrame | None = None) -> DataFrame:
-    """Ask the owners of keys about each block's keys and finish each block with their answers.
+def deal(docs: DataFrame, keys: Callable, limit: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of blocks: each block's texts, and what it asks the owners of its keys.
 
     keys(ids, texts, owners) -> (list of (owner, blob), fingerprint int): the block's distinct keys.
-    answer(list of (block, blob)) -> list of (block, blob): of one owner, in the same order of keys.
-    finish(ids, texts, {owner: blob}, owners, block) -> pa.Table: the block's rows.
-    facts: what owners know besides, by owner in column ``k``; then answer gets that table too.
-    The fingerprint is compared at the end: should an unstable input have been read twice with
-    different rows, the job stops rather than return wrong rows.
     """
-    spark = docs.sparkSession
-    owners = owners_of(spark)
+    owners = owners_of(docs.sparkSession)
 
     def send(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -124,10 +118,28 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
             block = (part << 24) + seq
             seq += 1
             parts, check = keys(ids, texts, owners)
-            yield pa.record_batch([pa.array(x, t.type) for x, t in zip([[block], [TEXTS], [block], [check], [pack_texts(ids, texts)]], _KEY)], schema=_KEY)
-            if parts:
-                n = len(parts)
-                yield pa.record_batch([pa.array(x, t.type) for x, t in zip([[p for p, _ in parts], [KEYS] * n, [block] * n, [check] * n, [b for _, b in parts]], _KEY)], schema=_KEY)
+            yield rows_of(block, check, pack_texts(ids, texts), parts).to_batches()[0]
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(send, ROW)
+
+
+def rows_of(block: int, check: int, texts: bytes, parts: list[tuple[int, bytes]]) -> pa.Table:
+    """A block's row of texts and its rows of keys; the texts are dealt by the block's number."""
+    n = len(parts)
+    return pa.table([pa.array(x, t.type) for x, t in zip([[block, *(p for p, _ in parts)], [TEXTS] + [KEYS] * n, [block] * (n + 1), [check] * (n + 1), [texts, *(b for _, b in parts)]], _KEY)], schema=_KEY)
+
+
+def meet(rows: DataFrame, answer: Callable, finish: Callable, schema: str, facts: DataFrame | None = None) -> DataFrame:
+    """Let the owners answer the keys of rows from deal() and finish each block with their answers.
+
+    answer(list of (block, blob)) -> list of (block, blob): of one owner, in the same order of keys.
+    finish(blob of texts, {owner: blob}, owners, block, fingerprint) -> pa.Table: the block's rows.
+    facts: what owners know besides, by owner in column ``k``; then answer gets that table too.
+    The fingerprint is compared at the end: should an unstable input have been read twice with
+    different rows, the job stops rather than return wrong rows.
+    """
+    spark = rows.sparkSession
+    owners, n = owners_of(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def reply(t: pa.Table, *known: pa.Table) -> pa.Table:
         t = t.filter(pc.equal(t["kind"], KEYS))
@@ -137,18 +149,15 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
         return pa.table([pa.array([b for b, _ in out], pa.int64()), pa.array([k] * len(out), pa.int64()), pa.array([check[b] for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["block", "part", "check", "blob"])
 
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
         left = left.filter(pc.equal(left["kind"], TEXTS))
-        if len(left) > 1:
-            raise RuntimeError("two blocks of one number: the input changed between reads")
-        for block, check, blob in zip(left["block"].to_pylist(), left["check"].to_pylist(), left["blob"].to_pylist()):
-            if set(right["check"].to_pylist()) - {check}:
-                raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
-            out.append(finish(*unpack_texts(blob), dict(zip(right["part"].to_pylist(), right["blob"].to_pylist())), owners, block))
-        return out[0] if out else arrow_schema(schema).empty_table()
-
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(send, _ROW).repartition(n, "k")
+        if not len(left):
+            return arrow_schema(schema).empty_table()
+        check = left["check"][0].as_py()
+        if len(left) > 1 or set(right["check"].to_pylist()) - {check}:
+            raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
+        return finish(left["blob"][0].as_py(), dict(zip(right["part"].to_pylist(), right["blob"].to_pylist())), owners, left["block"][0].as_py(), check)
+
+    dealt = rows.repartition(n, "k")
     asked = dealt.groupBy("k")
     if facts is None:
         replies = asked.applyInArrow(lambda t: reply(t), _ANSWER)
@@ -157,6 +166,15 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
     return dealt.groupBy("k").cogroup(replies.repartition(n, "block").groupBy("block")).applyInArrow(end, schema)
 
 
+def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable, schema: str, limit: int = BLOCK_BYTES, facts: DataFrame | None = None) -> DataFrame:
+    """deal() and meet(), with finish(ids, texts, {owner: blob}, owners, block)."""
+
+    def end(blob, answers, owners, block, _check):
+        return finish(*unpack_texts(blob), answers, owners, block)
+
+    return meet(deal(docs, keys, limit), answer, end, schema, facts)
+
+
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
 

@@ -67,6 +67,12 @@ def op4_packing(spark, sf_dir):
     return packing.packed(B.documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    from loomspark.llm import suffix_dedup
+
+    return suffix_dedup.cut_repeats(B.documents(spark, sf_dir)).drop("kept")
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
