@@ -24,6 +24,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Most text bytes of one block; a longer single document is a block of its own.
 BLOCK_BYTES = 24 << 20
@@ -70,17 +72,16 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob)[0], dtype=np.uint64)
 
 
-def pack_texts(ids: pa.Array, texts: pa.Array) -> bytes:
+def pack_texts(ids: pa.Array, texts: pa.Array, *carried: pa.Array) -> bytes:
     sink = pa.BufferOutputStream()
-    batch = pa.record_batch([ids, texts], ["doc_id", "text"])
+    batch = pa.record_batch([ids, texts, *carried], ["doc_id", "text", "carried"][: 2 + len(carried)])
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def unpack_texts(blob: bytes) -> tuple[pa.Array, pa.Array]:
-    b = pa.ipc.open_stream(blob).read_next_batch()
-    return b.column(0), b.column(1)
+def unpack_texts(blob: bytes) -> tuple[pa.Array, ...]:
+    return tuple(pa.ipc.open_stream(blob).read_next_batch().columns)
 
 
 def offsets_of(a: pa.Array) -> np.ndarray:
@@ -89,15 +90,15 @@ def offsets_of(a: pa.Array) -> np.ndarray:
     return np.frombuffer(a.buffers()[1], width)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, width)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """(doc_id, text) arrays of at most ``limit`` bytes; null texts count as empty."""
+def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, ...]]:
+    """(doc_id, text) arrays of at most ``limit`` bytes, with any further columns; null texts count as empty."""
     for b in batches:
         ids, texts = b.column(0), pc.fill_null(b.column(1).cast(pa.string()), "")
         n, i = len(ids), 0
         off = offsets_of(texts).astype(np.int64)
         while i < n:
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
-            yield ids[i:j], pa.concat_arrays([texts[i:j]])
+            yield ids[i:j], pa.concat_arrays([texts[i:j]]), *(c[i:j] for c in b.columns[2:])
             i = j
 
 
@@ -105,22 +106,27 @@ def owners_of(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def deal(docs: DataFrame, keys: Callable, limit: int = BLOCK_BYTES) -> DataFrame:
+def plain_columns() -> list:
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+
+
+def deal(docs: DataFrame, keys: Callable, limit: int = BLOCK_BYTES, carry: tuple = ()) -> DataFrame:
     """Rows of blocks: each block's texts, and what it asks the owners of its keys.
 
     keys(ids, texts, owners) -> (list of (owner, blob), fingerprint int): the block's distinct keys.
+    carry: at most one more column, to travel with the texts.
     """
     owners = owners_of(docs.sparkSession)
 
     def send(batches):
         part, seq = TaskContext.get().partitionId(), 0
-        for ids, texts in text_slices(batches, limit):
+        for ids, texts, *carried in text_slices(batches, limit):
             block = (part << 24) + seq
             seq += 1
             parts, check = keys(ids, texts, owners)
-            yield rows_of(block, check, pack_texts(ids, texts), parts).to_batches()[0]
+            yield rows_of(block, check, pack_texts(ids, texts, *carried), parts).to_batches()[0]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(send, ROW)
+    return docs.select(*plain_columns(), *carry).mapInArrow(send, ROW)
 
 
 def rows_of(block: int, check: int, texts: bytes, parts: list[tuple[int, bytes]]) -> pa.Table:
@@ -140,6 +146,7 @@ def meet(rows: DataFrame, answer: Callable, finish: Callable, schema: str, facts
     """
     spark = rows.sparkSession
     owners, n = owners_of(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
 
     def reply(t: pa.Table, *known: pa.Table) -> pa.Table:
         t = t.filter(pc.equal(t["kind"], KEYS))
@@ -151,7 +158,7 @@ def meet(rows: DataFrame, answer: Callable, finish: Callable, schema: str, facts
     def end(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.filter(pc.equal(left["kind"], TEXTS))
         if not len(left):
-            return arrow_schema(schema).empty_table()
+            return empty
         check = left["check"][0].as_py()
         if len(left) > 1 or set(right["check"].to_pylist()) - {check}:
             raise RuntimeError("the input gave other rows when it was read again; write it to a table first")

@@ -135,19 +135,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> dict:
     return {"v": v.astype(np.float32), "sq": sq.astype(np.float32), "a": a, "b": b}
 
 
+def probabilities(texts: pa.Array, m: dict) -> np.ndarray:
+    if "p" in m:
+        return np.full(len(texts), m["p"])
+    z = np.array([_margin(u, m["v"], m["sq"]) for u in features(texts)])
+    return 1 / (1 + np.exp(-np.clip(m["a"] * z + m["b"], -30, 30)))
+
+
 def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two numbers per hashed feature, whatever the data
 
     def run(it):
-        m = sent.value
         for ids, texts in B.text_slices(it, B.BLOCK_BYTES):
-            if "p" in m:
-                p = np.full(len(ids), m["p"])
-            else:
-                z = np.array([_margin(u, m["v"], m["sq"]) for u in features(texts)])
-                p = 1 / (1 + np.exp(-np.clip(m["a"] * z + m["b"], -30, 30)))
-            yield pa.record_batch([ids, pa.array(p)], ["doc_id", "score"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+            yield pa.record_batch([ids, pa.array(probabilities(texts, sent.value))], ["doc_id", "score"])
+
+    rows = docs.select(*B.plain_columns()).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", (B.crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score() predicts as 1."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(it):
+        for b in it:
+            p = probabilities(b.column(at).cast(pa.string()).fill_null(""), sent.value)
+            yield b.filter(pa.array(p >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,9 +27,11 @@ import functools
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loomspark.llm import _blocks as B
 from loomspark.llm._words import fold
@@ -266,7 +268,7 @@ def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _second(blob, answers, owners, block, check):
     """Mark what is settled, and send the segments that must be sorted and the windows that must be hashed."""
-    ids, texts = B.unpack_texts(blob)
+    _, texts, *_ = B.unpack_texts(blob)
     data, off = _bytes_of(texts)
     fp, sh, start, n = segments(data, off)
     order, first = _distinct(fp, sh)
@@ -333,7 +335,7 @@ def _sort(asked):
 def _cut(blob, answers, owners, block, _check):
     n_state = int.from_bytes(blob[:8], "little")
     state = B.unpack(blob[8 : 8 + n_state])
-    ids, texts = B.unpack_texts(blob[8 + n_state :])
+    ids, texts, *carried = B.unpack_texts(blob[8 + n_state :])
     data, off = _bytes_of(texts)
     begins = [_runs(state[0], state[1])]
     for i in range(2, len(state), 3):
@@ -350,9 +352,25 @@ def _cut(blob, answers, owners, block, _check):
     first[inner] = gone[inner]
     run = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[off])
     kept = [data[a:z][~gone[a:z]].tobytes() for a, z in zip(off, off[1:])]
-    return B.table(SCHEMA, ids, np.diff(off), run(gone), run(first), [hashlib.sha256(k).hexdigest() for k in kept], kept)
+    out = B.table(SCHEMA, ids, np.diff(off), run(gone), run(first), [hashlib.sha256(k).hexdigest() for k in kept], kept)
+    return out.append_column("carried", carried[0]) if carried else out
 
 
-def cut_repeats(docs: DataFrame, crowd: int = 4096) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    return B.meet(B.meet(B.deal(docs, _ask, _LIMIT), _say(crowd), _second, B.ROW), _sort, _cut, SCHEMA)
+def cut_repeats(docs: DataFrame, crowd: int = 4096, carry: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes); with ``carry`` its other columns in ``carried``."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    extra, schema = (), SCHEMA
+    if carry and others:
+        extra = (F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried"),)
+        schema = SCHEMA + ", carried " + docs.select(*extra).schema[0].dataType.simpleString()
+    return B.meet(B.meet(B.deal(docs, _ask, _LIMIT, extra), _say(crowd), _second, B.ROW), _sort, _cut, schema)
+
+
+def whole_characters(column: str):
+    """Bytes as text, without the bytes of characters that were cut in two."""
+
+    @F.pandas_udf("string")
+    def text(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    return text(column)
