@@ -45,7 +45,7 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of a small settings file, by Spark's reader, so that any store will do."""
-    return [x.strip() for x in spark.read.option("wholetext", True).text(path).first()[0].splitlines()]
+    return [x.strip() for x in spark.read.text(path, wholetext=True).first()[0].splitlines()]
 
 
 def keywords(spark: SparkSession, path: str | None, distinct: bool = False) -> list[str]:
@@ -72,7 +72,7 @@ def vocabulary(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 def prompts(spark: SparkSession, path: str) -> DataFrame:
     """(prompt): blocks between blank lines that aren't comments."""
-    blocks = spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", "\n\n")).alias("prompt"))
+    blocks = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n\n")).alias("prompt"))
     return blocks.select(F.trim(F.regexp_replace("prompt", r"^\s+|\s+\z", "")).alias("prompt")).where((F.col("prompt") != "") & ~F.col("prompt").startswith("#"))
 
 
