@@ -92,6 +92,8 @@ def _repeats(patterns: np.ndarray, lengths: np.ndarray, counts: np.ndarray, roun
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, largest first; how many such sequences), using every piece once."""
+    if not len(lengths):
+        return []
     order = np.argsort(lengths)
     lengths, left = lengths[order], counts[order].astype(np.int64).copy()
     out: list[tuple[tuple[int, ...], int]] = []
