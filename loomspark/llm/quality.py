@@ -94,7 +94,7 @@ def _margin(u: np.ndarray, v: np.ndarray, sq: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> dict:
     """The model: v (weight of each feature), sq (squared scale), a, b; or a constant p."""
-    one = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).alias("y"))
+    one = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).alias("y")).hint("merge")  # one plan at every size
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(B.crc_mod("doc_id", 4) != 2).join(one, "doc_id")
 
     def made(it):
