@@ -30,8 +30,8 @@ def crosstab(p: DataFrame) -> DataFrame:
     return p.groupBy(segment_bucket(F.col("n_segments")).alias("bucket")).agg(F.count_if("passed").alias("n_pass"), F.count_if(~F.col("passed")).alias("n_fail"), F.count("*").alias("n_all"))
 
 
-def ranked_values(df: DataFrame, value: str, picks: dict[str, Column], by: list[str] = ()) -> DataFrame:
-    """Per group, values at given places (from 0; a Column of ``n``) of the sorted values.
+def ranked_values(df: DataFrame, value: str, picks: dict[str, Column], by: list[str] = (), more: tuple[Column, ...] = ()) -> DataFrame:
+    """Per group, values at given places (from 0; a Column of ``n``) of the sorted values; ``more``: aggregates of each value ``_v`` and its count ``_c``.
 
     Works on counts of distinct values, so a group of any size is a few rows: no group is sorted or collected.
     """
@@ -39,7 +39,7 @@ def ranked_values(df: DataFrame, value: str, picks: dict[str, Column], by: list[
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     upto = counts.withColumns({"_to": F.sum("_c").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("_c").over(w)})
     at = {k: F.min(F.when(F.col("_to") > place, F.col("_v"))).alias(k) for k, place in picks.items()}
-    return upto.groupBy(*by).agg(*at.values())
+    return upto.groupBy(*by).agg(*at.values(), *more)
 
 
 def _percentile(p: float) -> Column:
@@ -49,11 +49,10 @@ def _percentile(p: float) -> Column:
 def coverage(p: DataFrame) -> DataFrame:
     """Per segment bucket of passing scenes: counts, median and p90 tokens, and running shares of scenes and tokens."""
     q = p.where("passed").withColumn("bucket", segment_bucket(F.col("n_segments")))
-    sums = q.groupBy("bucket").agg(F.count("*").alias("scenes"), F.sum("tokens").alias("tokens"))
-    at = ranked_values(q, "tokens", {"_lo": F.floor((F.col("n") - 1) / F.lit(2.0)), "_hi": F.floor(F.col("n") / F.lit(2.0)), "p90_tokens": _percentile(0.9)}, ["bucket"])
+    sums = (F.sum("_c").alias("scenes"), F.sum(F.col("_v") * F.col("_c")).alias("tokens"))
+    both = ranked_values(q, "tokens", {"_lo": F.floor((F.col("n") - 1) / F.lit(2.0)), "_hi": F.floor(F.col("n") / F.lit(2.0)), "p90_tokens": _percentile(0.9)}, ["bucket"], sums)
     w = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # six rows at most
     whole = Window.partitionBy(F.lit(0))
-    both = sums.join(at, "bucket")
     return both.select(
         "bucket", "scenes", "tokens", F.floor((F.col("_lo") + F.col("_hi")) / F.lit(2.0)).alias("median_tokens"), "p90_tokens",
         (F.sum("scenes").over(w) / F.sum("scenes").over(whole)).alias("cum_scenes"), (F.sum("tokens").over(w) / F.sum("tokens").over(whole)).alias("cum_tokens"),
@@ -112,7 +111,8 @@ def length_histogram(df: DataFrame, cfg: Curation = Curation(), text: str = "tex
 
 def length_stats(df: DataFrame, length: str = "length") -> DataFrame:
     """One row: examples, total, min, max, mean, median, p95 and p99 of a length column; none of an empty table."""
-    sums = df.agg(F.count("*").alias("examples"), F.sum(length).alias("tokens_total"), F.min(length).alias("tokens_min"), F.max(length).alias("tokens_max"))
-    at = ranked_values(df, length, {"_lo": F.floor((F.col("n") - 1) / F.lit(2.0)), "_hi": F.floor(F.col("n") / F.lit(2.0)), "tokens_p95": _percentile(0.95), "tokens_p99": _percentile(0.99)})
-    both = sums.where("examples > 0").crossJoin(F.broadcast(at))  # one row and one row
+    v, c = F.col("_v"), F.col("_c")
+    sums = (F.sum(c).alias("examples"), F.sum(v * c).alias("tokens_total"), F.min(v).alias("tokens_min"), F.max(v).alias("tokens_max"))
+    places = {"_lo": F.floor((F.col("n") - 1) / F.lit(2.0)), "_hi": F.floor(F.col("n") / F.lit(2.0)), "tokens_p95": _percentile(0.95), "tokens_p99": _percentile(0.99)}
+    both = ranked_values(df, length, places, more=sums).where("examples > 0")
     return both.select("examples", "tokens_total", "tokens_min", "tokens_max", X.rounded(F.col("tokens_total") / F.col("examples"), 1).alias("tokens_mean"), F.floor((F.col("_lo") + F.col("_hi")) / F.lit(2.0)).alias("tokens_median"), "tokens_p95", "tokens_p99")
