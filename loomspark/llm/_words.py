@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,10 +30,44 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, off, words
 
 
+_CHUNK, _BASE = 1 << 20, 0x9E3779B97F4A7C15
+
+
+@functools.lru_cache(1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base modulo 2**64, and of its inverse."""
+    n = _CHUNK + 1024
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def hash64(words: pa.Array) -> np.ndarray:
-    """xxh3 of each string; the number of strings is that of distinct words."""
-    h = xxhash.xxh3_64_intdigest
-    return np.fromiter((h(w) for w in words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    """A 64-bit hash of each string: a polynomial in its bytes, from running sums over all of them, then mixed."""
+    off, buf, (up, down) = offsets_of(words).astype(np.int64), words.buffers()[2], powers()
+    out, i = np.zeros(len(words), np.uint64), 0
+    data = np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
+    while i < len(words):
+        j = int(np.searchsorted(off, off[i] + _CHUNK, side="right")) - 1
+        if j <= i:  # one very long string
+            out[i] = xxhash.xxh3_64_intdigest(data[off[i] : off[i + 1]].tobytes())
+            i += 1
+            continue
+        sums = np.zeros(int(off[j] - off[i]) + 1, np.uint64)
+        np.cumsum((data[off[i] : off[j]].astype(np.uint64) + np.uint64(1)) * up[: len(sums) - 1], out=sums[1:])
+        o = off[i : j + 1] - off[i]
+        out[i:j] = mixed((sums[o[1:]] - sums[o[:-1]]) * down[o[:-1]] ^ (np.diff(o).astype(np.uint64) << np.uint64(40)))
+        i = j
+    return out
 
 
 def hash128(words: pa.Array) -> list[bytes]:

@@ -5,8 +5,8 @@ class and a subclass: the most common words are dealt over the 32 x 32 cells by
 
     P(word | history) = P(class | history) P(subclass | class, history) P(word | cell)
 
-Both softmaxes have hashed features of the history: the last word, the last two, and the second and
-third last alone (skips). P(word | cell) is (c + 1) / (N_cell + V_cell + 1), c the training count, so
+Both softmaxes have hashed features of the history. Of the class: the last word, the last two, and the
+second and third last alone (skips). Of the subclass: the last and the second last, each with the class. P(word | cell) is (c + 1) / (N_cell + V_cell + 1), c the training count, so
 each cell keeps one share for unknown words and a text's probabilities are those of a proper model.
 
 Counts of all words of all training rows are exact and kept by owner. The softmaxes are trained on
@@ -154,7 +154,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 def _features(p1, p2, p3, c1) -> tuple[list[np.ndarray], list[np.ndarray]]:
     c = c1.astype(np.uint32) * np.uint32(0x27D4EB2F)
-    return [_mix(p1, 1), _mix(p1 * np.uint32(31) + p2, 2), _mix(p2, 3), _mix(p3, 4)], [_mix(p1 + c, 5), _mix(p2 + c, 6), _mix(p3 + c, 7)]
+    return [_mix(p1, 1), _mix(p1 * np.uint32(31) + p2, 2), _mix(p2, 3), _mix(p3, 4)], [_mix(p1 + c, 5), _mix(p2 + c, 6)]
 
 
 def fresh_model() -> dict:
@@ -176,7 +176,8 @@ def _step(w: np.ndarray, acc: np.ndarray, ids: np.ndarray, g: np.ndarray, rate:
     order = np.argsort(ids, kind="stable")
     i = ids[order]
     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-    sums = np.add.reduceat(g[order], first, axis=0)
+    upto = np.cumsum(np.ascontiguousarray(g[order].T), axis=1)[:, np.append(first[1:], len(i)) - 1]
+    sums = np.diff(upto, axis=1, prepend=np.float32(0)).T
     rows = i[first]
     acc[rows] += (sums * sums).mean(axis=1)
     w[rows] -= rate * sums / (np.sqrt(acc[rows]) + 1e-6)[:, None]
@@ -193,7 +194,9 @@ def learn(m: dict, h: np.ndarray, cell: np.ndarray, start: np.ndarray, rate: flo
         g[at, c1] -= 1
         for f in one:
             _step(m["w1"], m["a1"], f, g, rate)
-        _step(m["b1"], m["ab1"], np.zeros(len(at), np.uint16), g, rate)
+        total = g.sum(axis=0)
+        m["ab1"] += (total * total).mean()
+        m["b1"] -= rate * total / (np.sqrt(m["ab1"]) + 1e-6)
         g = _softmax(m["w2"], two, m["b2"][c1])
         g[at, c2] -= 1
         for f in two:

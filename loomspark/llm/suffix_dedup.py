@@ -23,7 +23,6 @@ input, and the remaining bytes are joined as they are, even where that cuts a UT
 
 from __future__ import annotations
 
-import functools
 import hashlib
 
 import numpy as np
@@ -34,40 +33,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import _blocks as B
-from loomspark.llm._words import fold
+from loomspark.llm._words import fold, mixed, powers
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 SPAN, GRAM = 200, 64
 _REACH = SPAN - GRAM + 1  # anchors to choose from in a window
 _CHUNK, _LIMIT, _SA_BYTES = 1 << 20, 12 << 20, 2 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
 _NONE, _ALL, _SORT, _SORT_ALL, _HASH, _HASH_ALL = range(6)  # what an owner says about a segment
 
 
 # --- anchors -----------------------------------------------------------------------------------
 
 
-@functools.lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    n = _CHUNK + SPAN + 8
-    inverse = pow(_BASE, -1, 1 << 64)
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, inverse, np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(32)
-    return x
-
-
 def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, segment hash, first window, windows) of every anchor occurrence of texts laid end to end."""
-    up, down = _powers()
+    up, down = powers()
     out = []
     starts = np.flatnonzero(np.diff(off) >= SPAN)
     todo, size = [], 0
@@ -86,7 +66,7 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         b = np.concatenate([data[s : s + n + SPAN - 1] for s, n in todo])
         sums = np.zeros(len(b) + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-        h = _mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(b) - GRAM + 1])
+        h = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(b) - GRAM + 1])
         low = np.uint64((1 << 22) - 1)
         m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         w = 1
@@ -105,7 +85,7 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         a = j[first]
         n = np.diff(np.append(first, len(j)))
         end = a + n + SPAN - 1
-        sh = _mixed((sums[end] - sums[a]) * down[a] ^ (n.astype(np.uint64) << np.uint64(40)))
+        sh = mixed((sums[end] - sums[a]) * down[a] ^ (n.astype(np.uint64) << np.uint64(40)))
         begin, real = np.array([x for x, _ in base]), np.array([s for _, s in base])
         k = np.searchsorted(begin, a, side="right") - 1
         out.append((h[anchor[first]], sh, a - begin[k] + real[k], n))
