@@ -88,7 +88,7 @@ def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         sh = mixed((sums[end] - sums[a]) * down[a] ^ (n.astype(np.uint64) << np.uint64(40)))
         begin, real = np.array([x for x, _ in base]), np.array([s for _, s in base])
         k = np.searchsorted(begin, a, side="right") - 1
-        out.append((h[anchor[first]], sh, a - begin[k] + real[k], n))
+        out.append((mixed(h[anchor[first]] * np.uint64(3)), sh, a - begin[k] + real[k], n))  # least hashes are small: spread them
     if not out:
         return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out))
