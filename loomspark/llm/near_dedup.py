@@ -1,28 +1,33 @@
 """Near-duplicate detection: consistent weighted sampling over TF-IDF shingles.
 
 A text is lower-cased, ASCII punctuation becomes space, and each run of five words is a shingle (all
-words, where there are fewer). A shingle weighs tf * ln((N + 1) / df), with df counted over all N
-documents. Similarity is the weighted Jaccard sum(min) / sum(max); texts at 0.8 or more are linked,
-and a class is a connected component of links. The least doc_id of a class stays.
+words, where there are fewer). A shingle weighs (1 + ln tf) * (1 + ln((N + 1) / df) / ln(N + 1)), with
+df counted over all N documents. Texts are linked when their weighted Jaccard similarity, sum(min) /
+sum(max), is 0.8 or more, or the plain one of their shingle sets is: in large groups of copies, what
+they share is so common that weights alone would part them. A class is a connected component of
+links; its least doc_id stays.
 
 1. Blocks exchange shingle hashes with their owners, which return document frequencies.
-2. Shared weight bounds similarity: a text with less than 0.8 of its weight on shingles of df > 1 has
-   no partner and is done. All others get their samples (improved consistent weighted sampling) in
+2. What a text shares bounds its similarity: one with less than 0.8 of its weight, and of its shingles,
+   at df > 1 has no partner and is done. All others get their samples (improved consistent weighted sampling) in
    ``bands`` bands of ``rows``; texts with equal features become one representative.
-3. In each band bucket the least representative leads; all others are compared with it, in full,
-   through their weights. Those it doesn't match form the next round's buckets, until none are left.
-   So a bucket of n gives at most n - 1 comparisons a round, never all pairs.
+3. Buckets of equal members count once. The members of a bucket of up to ``small`` meet in one task and
+   are compared in full, through their weights, but for those that links have joined already. In a
+   larger one the least member leads, and all others are compared with it alone, in parallel; those
+   it doesn't match are the next round's bucket, until a round leaves none. A fifth of the bands goes
+   first; of the others, buckets that lie within one component by then are left out.
 4. Links become components by label propagation with pointer jumping.
 
 Null and empty texts, and texts without a word, are alone in their class. A repeated doc_id is one
 document: its rows stay or go together. Other columns are ignored; an empty table gives no rows.
-A group of copies, however large, sends one row per block; a group of near copies is compared with
-its leader only. A link between two members of one bucket that match different leaders is found
-through the other bands or not at all; that is the one link the rounds don't test.
+A group of copies, however large, sends one row per block; a large group of near copies is compared
+with its leader only. A link between two members of one large bucket that match different leaders is
+found through their other buckets or not at all; that is the one link that isn't tested.
 """
 
 from __future__ import annotations
 
+import functools
 import string
 
 import numpy as np
@@ -106,16 +111,27 @@ class Sampler:
         return [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(b.tobytes(), i)))) for i, b in enumerate(s)]
 
 
-def similarity(a: bytes, b: bytes, n: int) -> float:
-    """Weighted Jaccard of two packed feature sets among n documents."""
-    (du, tu, fu), (dv, tv, fv) = B.unpack(a), B.unpack(b)
-    u, v = np.cumsum(du, dtype=np.uint64), np.cumsum(dv, dtype=np.uint64)
-    wu, wv = tu * np.log((n + 1) / fu), tv * np.log((n + 1) / fv)
+def weights(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
+    return (1 + np.log(tf)) * (1 + np.log((n + 1) / df) / np.log(n + 1))
+
+
+def weighed(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(shingles, weights, their sum) of packed features among n documents."""
+    d, tf, df = B.unpack(blob)
+    w = weights(tf, df, n)
+    return np.cumsum(d, dtype=np.uint64), w, float(w.sum())
+
+
+def similarity(x: tuple, y: tuple, least: float = 0.0) -> float:
+    """The greater of weighted and plain Jaccard of two weighed() sets; 0 where their sizes alone show both to be under ``least``."""
+    (u, wu, a), (v, wv, b) = x, y
+    if min(a, b) < least * max(a, b) - 1e-9 and min(len(u), len(v)) < least * max(len(u), len(v)):
+        return 0.0
     at = np.searchsorted(v, u)
     hit = np.flatnonzero(at < len(v))
     hit = hit[v[at[hit]] == u[hit]]
     both = float(np.minimum(wu[hit], wv[at[hit]]).sum())
-    return both / (float(wu.sum() + wv.sum()) - both)
+    return max(both / (a + b - both), len(hit) / (len(u) + len(v) - len(hit)))
 
 
 def sampled(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
@@ -151,8 +167,8 @@ def sampled(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFra
         sampler, seen, out = Sampler(bands * rows), set(), []
         for i, (x, tf) in zip(doc_ids.to_pylist(), each):
             f = df[np.searchsorted(u, x)]
-            w = tf * np.log((n + 1) / f)
-            if not len(x) or i is None or w[f > 1].sum() < threshold * w.sum() - 1e-9:
+            w = weights(tf, f, n)
+            if not len(x) or i is None or max(w[f > 1].sum() / w.sum(), (f > 1).mean()) < threshold - 1e-9:
                 out.append((i, False, None, None, None))
                 continue
             same = xxhash.xxh3_128_digest(x.tobytes() + tf.tobytes())
@@ -180,36 +196,59 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 12, rows: int = 3) -> DataFrame:
+def _linked(threshold: float, n: int):
+    """Links that join the members of one small bucket: each member against the members of all other groups so far."""
+
+    def run(t: pa.Table) -> pa.Table:
+        reps = t["rep"].to_pylist()
+        sets = [weighed(f, n) for f in t["features"].to_pylist()]
+        group, out = list(range(len(reps))), []
+        for i in range(len(reps)):
+            for j in range(i):
+                if group[i] != group[j] and similarity(sets[i], sets[j], threshold) >= threshold:
+                    out.append((reps[j], reps[i]))
+                    old, new = group[i], group[j]
+                    group = [new if g == old else g for g in group]
+        return B.table("a long, b long", *(zip(*out) if out else [[], []]))
+
+    return run
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, small: int = 256) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class), kept."""
     n = docs.count()
     table = B.stored(sampled(docs, threshold, bands, rows))
-    reps = B.stored(table.where("candidate").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands", True).alias("bands"), F.first("features", True).alias("features")))
-    features = reps.select("rep", "features")
-    open_ = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
-    links = None
-    while True:
-        # a bucket and who leads it; partial minima first, so that a large bucket is no large task
-        lead = open_.groupBy("band", "bucket").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = B.stored(open_.join(lead, ["band", "bucket"]).where("rep <> lead"))
-        pairs = met.select("lead", "rep").distinct()
-        if not met.limit(1).count():
-            break
-        a, b = features.select(F.col("rep").alias("lead"), F.col("features").alias("fa")), features.withColumnRenamed("features", "fb")
-
-        def compare(it):
-            for t in it:
-                s = [similarity(x, y, n) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-                yield pa.record_batch([t.column(0), t.column(1), pa.array(s, pa.float64())], ["lead", "rep", "similarity"])
-
-        tested = B.stored(pairs.join(a, "lead").join(b, "rep").select("lead", "rep", "fa", "fb").mapInArrow(compare, "lead long, rep long, similarity double"))
-        found = tested.where(F.col("similarity") >= threshold).select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        open_ = met.join(tested.where(F.col("similarity") < threshold).select("lead", "rep"), ["lead", "rep"], "left_semi").select("rep", "band", "bucket")
+    reps = B.stored(table.where("candidate").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands", True).alias("bands")))
+    features = table.where("features is not null").groupBy("same").agg(F.first("features").alias("features"))
+    every = reps.select("rep", "same", F.posexplode("bands").alias("band", "bucket"))
+    links, labels, first = [], None, max(1, bands // 5)
+
+    def compare(it):
+        for t in it:
+            s = [similarity(weighed(x, n), weighed(y, n), threshold) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
+            yield pa.record_batch([t.column(0), t.column(1), pa.array(s, pa.float64())], ["lead", "rep", "similarity"])
+
+    # A few bands join most near copies; of the others, buckets within one component have nothing to add.
+    for part in (every.where(F.col("band") < first), every.where(F.col("band") >= first)):
+        open_ = part.withColumn("part", F.col("rep")) if labels is None else part.join(labels.select(F.col("id").alias("rep"), "label").hint("merge"), "rep", "left").select(*part.columns, F.coalesce("label", "rep").alias("part"))
+        open_ = B.stored(open_)
+        while True:
+            h = F.xxhash64("rep")
+            each = open_.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("rep", "same")).alias("lead"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("y"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+            buckets = B.stored(each.groupBy("n", "lead", "x", "y").agg(F.min_by(F.struct("band", "bucket"), F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.same").alias("lead_same")))
+            met = open_.join(buckets.hint("merge"), ["band", "bucket"])
+            few = met.where(F.col("n") <= small).select("band", "bucket", "rep", "same").join(features.hint("merge"), "same").select("band", "bucket", "rep", "features")
+            links.append(B.stored(few.groupBy("band", "bucket").applyInArrow(_linked(threshold, n), "a long, b long")))
+            if not buckets.where(F.col("n") > small).limit(1).count():
+                break
+            many = met.where((F.col("n") > small) & (F.col("rep") != F.col("lead")))
+            a, b = features.select(F.col("same").alias("lead_same"), F.col("features").alias("fa")), features.withColumnRenamed("features", "fb")
+            pairs = many.select("lead", "lead_same", "rep", "same").distinct().join(b.hint("merge"), "same").join(a.hint("merge"), "lead_same")
+            tested = B.stored(pairs.select("lead", "rep", "fa", "fb").mapInArrow(compare, "lead long, rep long, similarity double"))
+            links.append(tested.where(F.col("similarity") >= threshold).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+            open_ = B.stored(many.join(tested.where(F.col("similarity") < threshold).select("lead", "rep"), ["lead", "rep"], "left_semi").select("rep", "same", "band", "bucket", "part"))
+        labels = components(functools.reduce(DataFrame.unionByName, links))
     of = table.where("candidate").select("doc_id", "same").join(reps.select("same", "rep"), "same")
-    if links is None:
-        of = of.select("doc_id", F.col("rep").alias("class_id"))
-    else:
-        of = of.join(components(links).withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
+    of = of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     both = of.unionByName(table.where("not candidate").select("doc_id", F.col("doc_id").alias("class_id")))
     return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))

@@ -165,7 +165,8 @@ def near_want(rows, threshold=0.8):
         w = [x for x in w if x]
         sets.append((d, Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()))
     df = Counter(k for _, s in sets for k in s)
-    w = {k: math.log((len(rows) + 1) / v) for k, v in df.items()}
+    idf = {k: 1 + math.log((len(rows) + 1) / v) / math.log(len(rows) + 1) for k, v in df.items()}
+    w = [{k: (1 + math.log(c)) * idf[k] for k, c in s.items()} for _, s in sets]
     up = {d: d for d, _ in sets}
 
     def root(x):
@@ -174,9 +175,9 @@ def near_want(rows, threshold=0.8):
         return x
 
     for i, (a, s) in enumerate(sets):
-        for b, t in sets[:i]:
-            both = sum(min(s[k], t[k]) * w[k] for k in s if k in t)
-            if both and both >= threshold * (sum(c * w[k] for k, c in s.items()) + sum(c * w[k] for k, c in t.items()) - both):
+        for j, (b, t) in enumerate(sets[:i]):
+            both, n = sum(min(w[i][k], w[j][k]) for k in s if k in t), len(s.keys() & t.keys())
+            if n and (both >= threshold * (sum(w[i].values()) + sum(w[j].values()) - both) or n >= threshold * len(s.keys() | t.keys())):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return sorted(((d, root(d), d == root(d)) for d, *_ in rows), key=repr)
