@@ -234,18 +234,21 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int
         open_ = B.stored(open_)
         while True:
             h = F.xxhash64("rep")
-            each = open_.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min(F.struct("rep", "same")).alias("lead"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("y"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-            buckets = B.stored(each.groupBy("n", "lead", "x", "y").agg(F.min_by(F.struct("band", "bucket"), F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n", F.col("lead.rep").alias("lead"), F.col("lead.same").alias("lead_same")))
+            each = open_.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("y"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+            buckets = B.stored(each.groupBy("n", "lead", "x", "y").agg(F.min_by(F.struct("band", "bucket"), F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n", "lead"))
             met = open_.join(buckets.hint("merge"), ["band", "bucket"])
-            few = met.where(F.col("n") <= small).select("band", "bucket", "rep", "same").join(features.hint("merge"), "same").select("band", "bucket", "rep", "features")
-            links.append(B.stored(few.groupBy("band", "bucket").applyInArrow(_linked(threshold, n), "a long, b long")))
+            # one join brings the features of all who need them: members of small buckets, and pairs of members and leaders of large ones
+            few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small)
+            need = few.select("band", "bucket", F.lit(None).cast("long").alias("lead"), "rep", "same").unionByName(many.select("lead", "rep", "same").distinct().select(F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("bucket"), "lead", "rep", "same"))
+            got = B.stored(need.join(features.hint("merge"), "same").select("band", "bucket", "lead", "rep", "features"))
+            links.append(B.stored(got.where("lead is null").select("band", "bucket", "rep", "features").groupBy("band", "bucket").applyInArrow(_linked(threshold, n), "a long, b long")))
             if not buckets.where(F.col("n") > small).limit(1).count():
                 break
-            many = met.where((F.col("n") > small) & (F.col("rep") != F.col("lead")))
-            a, b = features.select(F.col("same").alias("lead_same"), F.col("features").alias("fa")), features.withColumnRenamed("features", "fb")
-            pairs = many.select("lead", "lead_same", "rep", "same").distinct().join(b.hint("merge"), "same").join(a.hint("merge"), "lead_same")
-            tested = B.stored(pairs.select("lead", "rep", "fa", "fb").mapInArrow(compare, "lead long, rep long, similarity double"))
+            a = got.where("rep = lead").select("lead", F.col("features").alias("fa"))
+            b = got.where("rep <> lead").select("lead", "rep", F.col("features").alias("fb"))
+            tested = B.stored(b.join(a.hint("merge"), "lead").select("lead", "rep", "fa", "fb").mapInArrow(compare, "lead long, rep long, similarity double"))
             links.append(tested.where(F.col("similarity") >= threshold).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+            many = many.where("rep <> lead")
             open_ = B.stored(many.join(tested.where(F.col("similarity") < threshold).select("lead", "rep"), ["lead", "rep"], "left_semi").select("rep", "same", "band", "bucket", "part"))
         labels = components(functools.reduce(DataFrame.unionByName, links))
     of = table.where("candidate").select("doc_id", "same").join(reps.select("same", "rep"), "same")
