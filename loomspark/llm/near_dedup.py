@@ -13,16 +13,19 @@ links; its least doc_id stays.
    ``bands`` bands of ``rows``; texts with equal features become one representative.
 3. Buckets of equal members count once. The members of a bucket of up to ``small`` meet in one task and
    are compared in full, through their weights, but for those that links have joined already. In a
-   larger one the least member leads, and all others are compared with it alone, in parallel; those
+   larger one the least member leads, and all others are compared with it, in parallel; those
    it doesn't match are the next round's bucket, until a round leaves none. A fifth of the bands goes
    first; of the others, buckets that lie within one component by then are left out.
 4. Links become components by label propagation with pointer jumping.
+5. Members that a leader matched are compared with those it was tested with that lie in other
+   components still, in parts of ``small`` by ``small``. Both distances (1 - Jaccard) are metrics: a pair
+   whose distances to the leader differ by more than 1 - threshold, in both, is no link.
 
 Null and empty texts, and texts without a word, are alone in their class. A repeated doc_id is one
 document: its rows stay or go together. Other columns are ignored; an empty table gives no rows.
-A group of copies, however large, sends one row per block; a large group of near copies is compared
-with its leader only. A link between two members of one large bucket that match different leaders is
-found through their other buckets or not at all; that is the one link that isn't tested.
+A group of copies, however large, sends one row per block; a large group of near copies that match
+their leader is compared with it only. Every two members of a bucket of any size end in one class if
+they are linked.
 """
 
 from __future__ import annotations
@@ -122,16 +125,22 @@ def weighed(blob: bytes, n: int) -> tuple[np.ndarray, np.ndarray, float]:
     return np.cumsum(d, dtype=np.uint64), w, float(w.sum())
 
 
-def similarity(x: tuple, y: tuple, least: float = 0.0) -> float:
-    """The greater of weighted and plain Jaccard of two weighed() sets; 0 where their sizes alone show both to be under ``least``."""
+def similarities(x: tuple, y: tuple) -> tuple[float, float]:
+    """Weighted and plain Jaccard of two weighed() sets."""
     (u, wu, a), (v, wv, b) = x, y
-    if min(a, b) < least * max(a, b) - 1e-9 and min(len(u), len(v)) < least * max(len(u), len(v)):
-        return 0.0
     at = np.searchsorted(v, u)
     hit = np.flatnonzero(at < len(v))
     hit = hit[v[at[hit]] == u[hit]]
     both = float(np.minimum(wu[hit], wv[at[hit]]).sum())
-    return max(both / (a + b - both), len(hit) / (len(u) + len(v) - len(hit)))
+    return both / (a + b - both), len(hit) / (len(u) + len(v) - len(hit))
+
+
+def similarity(x: tuple, y: tuple, least: float = 0.0) -> float:
+    """The greater of weighted and plain Jaccard of two weighed() sets; 0 where their sizes alone show both to be under ``least``."""
+    (u, _, a), (v, _, b) = x, y
+    if min(a, b) < least * max(a, b) - 1e-9 and min(len(u), len(v)) < least * max(len(u), len(v)):
+        return 0.0
+    return max(similarities(x, y))
 
 
 def sampled(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFrame:
@@ -214,22 +223,70 @@ def _linked(threshold: float, n: int):
     return run
 
 
+def _crossed(threshold: float, n: int):
+    """Links of members that one leader matched with members of other components; one is enough for each component."""
+
+    def run(t: pa.Table) -> pa.Table:
+        inside = np.array(t["inside"].to_pylist(), bool)
+        reps, label = t["rep"].to_pylist(), t["label"].to_pylist()
+        sims, sets = np.array([t["weighted"].to_pylist(), t["plain"].to_pylist()]), [weighed(f, n) for f in t["features"].to_pylist()]
+        joined, out, mine = set(), [], np.flatnonzero(inside)
+        for j in np.flatnonzero(~inside):
+            if label[j] in joined:
+                continue
+            near = (np.abs(sims[:, mine] - sims[:, [j]]) <= 1 - threshold + 1e-9).any(axis=0)
+            for i in mine[near]:
+                if similarity(sets[i], sets[j], threshold) >= threshold:
+                    out.append((reps[i], reps[j]))
+                    joined.add(label[j])
+                    break
+        return B.table("a long, b long", *(zip(*out) if out else [[], []]))
+
+    return run
+
+
+def crossing(tested: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, n: int, small: int) -> DataFrame:
+    """Links (a, b) that leaders hid: between members that a leader matched and members of other components it was tested with.
+
+    tested: (lead, rep, same, weighted, plain), the similarities of each leader and member.
+    """
+    of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
+    t = tested.join(of("rep"), "rep", "left").join(of("lead"), "lead", "left").withColumn("label", F.coalesce("rep_label", "rep")).withColumn("inside", F.greatest("weighted", "plain") >= threshold)
+    t = t.where(F.col("inside") | (F.col("label") != F.coalesce("lead_label", "lead"))).drop("rep_label", "lead_label")
+    t = B.stored(t.dropDuplicates(["lead", "rep"]))
+    # the ends of both sides' distances: who is too far from all of the other side has no link there
+    end = lambda f, c, side: f(F.when(F.col("inside") if side else ~F.col("inside"), F.col(c)))
+    ends = t.groupBy("lead").agg(*(end(F.min, c, True).alias(f"in_{c}") for c in ("weighted", "plain")), *(end(F.max, c, False).alias(f"out_{c}") for c in ("weighted", "plain")))
+    gap = 1 - threshold + 1e-9
+    close = lambda c: F.when(F.col("inside"), F.col(c) - F.col(f"out_{c}") <= gap).otherwise(F.col(f"in_{c}") - F.col(c) <= gap)
+    t = B.stored(t.join(ends.where("in_plain is not null and out_plain is not null").hint("merge"), "lead").where(close("weighted") | close("plain")).select("lead", "rep", "same", "weighted", "plain", "label", "inside"))
+    parts = t.groupBy("lead").agg(F.ceil(F.count_if("inside") / small).cast("int").alias("n_in"), F.ceil(F.count_if(~F.col("inside")) / small).cast("int").alias("n_out")).where("n_in > 0 and n_out > 0")
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("n_out")).otherwise(F.col("n_in")) - 1))
+    t = t.join(features.hint("merge"), "same").join(parts.hint("merge"), "lead").select("lead", "rep", "weighted", "plain", "label", "inside", "features", own.alias("own"), other.alias("other"))
+    t = t.withColumn("i", F.when(F.col("inside"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("inside"), F.col("other")).otherwise(F.col("own")))
+    return B.stored(t.drop("own", "other").groupBy("lead", "i", "j").applyInArrow(_crossed(threshold, n), "a long, b long"))
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, small: int = 256) -> DataFrame:
     """Per document: doc_id, class_id (the least doc_id of its class), kept."""
-    n = docs.count()
-    table = B.stored(sampled(docs, threshold, bands, rows))
+    return grouped(B.stored(sampled(docs, threshold, bands, rows)), docs.count(), threshold, bands, small)
+
+
+def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, small: int = 256) -> DataFrame:
+    """The classes of n documents from their rows of sampled()."""
     reps = B.stored(table.where("candidate").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands", True).alias("bands")))
     features = table.where("features is not null").groupBy("same").agg(F.first("features").alias("features"))
     every = reps.select("rep", "same", F.posexplode("bands").alias("band", "bucket"))
-    links, labels, first = [], None, max(1, bands // 5)
+    links, tests, labels, first = [], [], None, F.col("band") % bands < max(1, bands // 5)
 
     def compare(it):
         for t in it:
-            s = [similarity(weighed(x, n), weighed(y, n), threshold) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-            yield pa.record_batch([t.column(0), t.column(1), pa.array(s, pa.float64())], ["lead", "rep", "similarity"])
+            s = [similarities(weighed(x, n), weighed(y, n)) for x, y in zip(t.column(3).to_pylist(), t.column(4).to_pylist())]
+            yield pa.record_batch([*t.columns[:3], *(pa.array([v[k] for v in s], pa.float64()) for k in (0, 1))], ["lead", "rep", "same", "weighted", "plain"])
 
     # A few bands join most near copies; of the others, buckets within one component have nothing to add.
-    for part in (every.where(F.col("band") < first), every.where(F.col("band") >= first)):
+    for part in (every.where(first), every.where(~first)):
         open_ = part.withColumn("part", F.col("rep")) if labels is None else part.join(labels.select(F.col("id").alias("rep"), "label").hint("merge"), "rep", "left").select(*part.columns, F.coalesce("label", "rep").alias("part"))
         open_ = B.stored(open_)
         while True:
@@ -240,17 +297,22 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int
             # one join brings the features of all who need them: members of small buckets, and pairs of members and leaders of large ones
             few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small)
             need = few.select("band", "bucket", F.lit(None).cast("long").alias("lead"), "rep", "same").unionByName(many.select("lead", "rep", "same").distinct().select(F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("bucket"), "lead", "rep", "same"))
-            got = B.stored(need.join(features.hint("merge"), "same").select("band", "bucket", "lead", "rep", "features"))
+            got = B.stored(need.join(features.hint("merge"), "same").select("band", "bucket", "lead", "rep", "same", "features"))
             links.append(B.stored(got.where("lead is null").select("band", "bucket", "rep", "features").groupBy("band", "bucket").applyInArrow(_linked(threshold, n), "a long, b long")))
             if not buckets.where(F.col("n") > small).limit(1).count():
                 break
             a = got.where("rep = lead").select("lead", F.col("features").alias("fa"))
-            b = got.where("rep <> lead").select("lead", "rep", F.col("features").alias("fb"))
-            tested = B.stored(b.join(a.hint("merge"), "lead").select("lead", "rep", "fa", "fb").mapInArrow(compare, "lead long, rep long, similarity double"))
+            b = got.where("rep <> lead").select("lead", "rep", "same", F.col("features").alias("fb"))
+            tested = B.stored(b.join(a.hint("merge"), "lead").select("lead", "rep", "same", "fa", "fb").mapInArrow(compare, "lead long, rep long, same binary, weighted double, plain double").withColumn("similarity", F.greatest("weighted", "plain")))
+            tests.append(tested)
             links.append(tested.where(F.col("similarity") >= threshold).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
             many = many.where("rep <> lead")
             open_ = B.stored(many.join(tested.where(F.col("similarity") < threshold).select("lead", "rep"), ["lead", "rep"], "left_semi").select("rep", "same", "band", "bucket", "part"))
         labels = components(functools.reduce(DataFrame.unionByName, links))
+    if tests:
+        more = crossing(functools.reduce(DataFrame.unionByName, tests).drop("similarity"), labels, features, threshold, n, small)
+        if more.limit(1).count():
+            labels = components(functools.reduce(DataFrame.unionByName, [*links, more]))
     of = table.where("candidate").select("doc_id", "same").join(reps.select("same", "rep"), "same")
     of = of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     both = of.unionByName(table.where("not candidate").select("doc_id", F.col("doc_id").alias("class_id")))
