@@ -9,8 +9,9 @@ links; its least doc_id stays.
 
 1. Blocks exchange shingle hashes with their owners, which return document frequencies.
 2. What a text shares bounds its similarity: one with less than 0.8 of its weight, and of its shingles,
-   at df > 1 has no partner and is done. All others get their samples (improved consistent weighted sampling) in
-   ``bands`` bands of ``rows``; texts with equal features become one representative.
+   at df > 1 has no partner and is done. All others get their samples in ``bands`` bands of ``rows`` of
+   their weights (improved consistent weighted sampling), and as many of their plain sets (least
+   hashes), so either kind of link has its own; texts with equal features become one representative.
 3. Buckets of equal members count once. The members of a bucket of up to ``small`` meet in one task and
    are compared in full, through their weights, but for those that links have joined already. In a
    larger one the least member leads, and all others are compared with it, in parallel; those
@@ -109,8 +110,19 @@ class Sampler:
             sign = np.where(less, u[i + at] * np.uint64(0xD6E8FEB86659FD93) + t[k, at].astype(np.int64).astype(np.uint64), sign)
         return sign
 
+    def plain_draws(self, u: np.ndarray, step: int = 4096) -> np.ndarray:
+        """The least hash of the set for each draw: two sets agree with the chance of their plain Jaccard similarity."""
+        best = np.full(len(self.seeds), np.iinfo(np.uint64).max, np.uint64)
+        for i in range(0, len(u), step):
+            x = (u[i : i + step][None, :] ^ self.seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0x94D049BB133111EB)
+            best = np.minimum(best, x.min(axis=1))
+        return best
+
     def bands(self, u: np.ndarray, weight: np.ndarray, rows: int) -> list[int]:
-        s = self.draws(u, weight).reshape(-1, rows)
+        """The bands of the weights, then as many of the plain set."""
+        s = np.concatenate([self.draws(u, weight), self.plain_draws(u)]).reshape(-1, rows)
         return [int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(b.tobytes(), i)))) for i, b in enumerate(s)]
 
 

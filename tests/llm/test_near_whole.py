@@ -48,3 +48,21 @@ def test_near_chains_in_one_large_bucket(spark, small, seed):
     assert len(links) == 33 and len(set(want.values())) == 3
     got = {r.doc_id: r.class_id for r in N.grouped(table, n, small=small).collect()}
     assert got == want
+
+
+def test_near_links_of_plain_sets(spark):
+    # a text and its multiples: plain Jaccard near 1, weighted far under 0.8
+    rnd, rows, want = random.Random(9), [], {}
+    for s in range(24):
+        text = " ".join(f"{rnd.randrange(10**6)}s{s}" for _ in range(200))
+        for k, times in enumerate((1, 3, 10)):
+            rows.append((3 * s + k, " ".join([text] * times)))
+            want[3 * s + k] = 3 * s
+    got = {r.doc_id: r.class_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_plain_draws_estimate_jaccard():
+    rng, s = np.random.default_rng(0), N.Sampler(2000)
+    u = np.unique(rng.integers(0, 2**48, 100, np.uint64))
+    assert abs((s.plain_draws(u[:80]) == s.plain_draws(u[20:])).mean() - 0.6) < 0.04
