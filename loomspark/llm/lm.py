@@ -6,7 +6,7 @@ class and a subclass: the most common words are dealt over the 32 x 32 cells by
     P(word | history) = P(class | history) P(subclass | class, history) P(word | cell)
 
 Both softmaxes have hashed features of the history. Of the class: the last word, the last two, and the
-second last alone (a skip). Of the subclass: the last word with the class. P(word | cell) is (c + 1) / (N_cell + V_cell + 1), c the training count, so
+second and third last alone (skips). Of the subclass: the last, second last and third last, each with the class. P(word | cell) is (c + 1) / (N_cell + V_cell + 1), c the training count, so
 each cell keeps one share for unknown words and a text's probabilities are those of a proper model.
 
 Counts of all words of all training rows are exact and kept by owner. The softmaxes are trained on
@@ -135,9 +135,9 @@ def cell_totals(counts: DataFrame, cells: Cells) -> np.ndarray:
 
 
 def histories(h: np.ndarray, start: np.ndarray) -> list[np.ndarray]:
-    """Hashes of the last and the second last token; a constant before the text."""
+    """Hashes of the last, second last and third last token; a constant before the text."""
     out, last = [], (h >> np.uint64(32)).astype(np.uint32)
-    for _ in range(2):
+    for _ in range(3):
         p = np.empty_like(last)
         p[1:] = last[:-1]
         p[start] = 0x9E3779B9
@@ -152,9 +152,9 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return ((x * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BITS)).astype(np.uint16)
 
 
-def _features(p1, p2, c1) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _features(p1, p2, p3, c1) -> tuple[list[np.ndarray], list[np.ndarray]]:
     c = c1.astype(np.uint32) * np.uint32(0x27D4EB2F)
-    return [_mix(p1, 1), _mix(p1 * np.uint32(31) + p2, 2), _mix(p2, 3)], [_mix(p1 + c, 4)]
+    return [_mix(p1, 1), _mix(p1 * np.uint32(31) + p2, 2), _mix(p2, 3), _mix(p3, 4)], [_mix(p1 + c, 5), _mix(p2 + c, 6), _mix(p3 + c, 7)]
 
 
 def fresh_model() -> dict:
@@ -188,7 +188,7 @@ def learn(m: dict, h: np.ndarray, cell: np.ndarray, start: np.ndarray, rate: flo
     for i in range(0, len(h), _CHUNK):
         s = slice(i, i + _CHUNK)
         c1, c2 = cell[s] // CLASSES, cell[s] % CLASSES
-        one, two = _features(p[0][s], p[1][s], c1)
+        one, two = _features(p[0][s], p[1][s], p[2][s], c1)
         at = np.arange(len(c1))
         g = _softmax(m["w1"], one, m["b1"])
         g[at, c1] -= 1
@@ -210,7 +210,7 @@ def class_scores(m: dict, h: np.ndarray, cell: np.ndarray, start: np.ndarray) ->
     for i in range(0, len(h), _CHUNK):
         s = slice(i, i + _CHUNK)
         c1, c2 = cell[s] // CLASSES, cell[s] % CLASSES
-        one, two = _features(p[0][s], p[1][s], c1)
+        one, two = _features(p[0][s], p[1][s], p[2][s], c1)
         at = np.arange(len(c1))
         out[s] = np.log10(np.maximum(_softmax(m["w1"], one, m["b1"])[at, c1], 1e-30)) + np.log10(np.maximum(_softmax(m["w2"], two, m["b2"][c1])[at, c2], 1e-30))
     return out
