@@ -9,6 +9,8 @@ Both softmaxes have hashed features of the history. Of the class: the last word,
 second and third last alone (skips). Of the subclass: the last, second last and third last, each with the class. P(word | cell) is (c + 1) / (N_cell + V_cell + 1), c the training count, so
 each cell keeps one share for unknown words and a text's probabilities are those of a proper model.
 
+The features share tables of 2**BITS rows, whatever the corpus: only the word counts grow with it.
+
 Counts of all words of all training rows are exact and kept by owner. The softmaxes are trained on
 every training row once, in rounds: each task runs AdaGrad steps over its rows of the round from the
 common weights, and the tasks' weights are averaged by tokens. Scoring runs in numpy batches that
