@@ -5,7 +5,7 @@ response of each filter feeds a softmax. All windows of a text are scored, and t
 is the one with the highest mean probability, weighted by window length.
 
 The network is fitted on windows of a bounded sample of labelled texts (``per_lang`` documents of
-each language in expectation, chosen by hash, at most twice as many; at most ``max_langs`` languages, the most common first). Null
+each language in expectation, chosen by hash, at most twice as many), of every language that has labelled rows. Null
 texts and texts without a letter are ``und`` with score 1. Without any labelled text all others are
 ``und`` with score 0. Repeated rows are predicted each; other columns are ignored; an empty table
 gives no rows.
@@ -97,16 +97,14 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int
     return m
 
 
-def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 3, max_langs: int = 64) -> dict | None:
+def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 3) -> dict | None:
     rows = docs.where(B.crc_mod("doc_id", 4) != 2).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy("lang").count().collect()  # one row a language
     if not counts:
         return None
     langs = sorted(r["lang"] for r in counts)
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], int(min(1.0, per_lang / r["count"]) * (1 << 20))).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share)
+    share = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, per_lang / r["count"]) * (1 << 20))) for r in counts], "lang string, share int")
+    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.col("share"))
 
     def cut(it):
         for b in it:
