@@ -3,7 +3,9 @@
 1. Texts become ids and an end id, cut into pieces of at most ``capacity`` tokens where longer.
 2. The histogram of piece lengths (``capacity`` bins at most, whatever the data) is fitted by
    non-negative least squares over enumerated patterns of up to four lengths that nearly fill a
-   sequence. Rounded down, the fitted repeat counts are laid out first, least waste first.
+   sequence. The fitted repeat counts are laid out first, least waste first; what rounding down leaves of
+   one passes to the next pattern of the same largest length, so small counts add up rather than vanish. The rest is
+   fitted again, until patterns lay out nothing more.
 3. What the patterns leave is packed best-fit decreasing by length, whole runs of equal sequences at
    a time, so the plan has few thousand rows, whatever the data.
 4. Pieces of a length are numbered: by block, then within the block. The plan maps the number to a
@@ -90,23 +92,34 @@ def _repeats(patterns: np.ndarray, lengths: np.ndarray, counts: np.ndarray, roun
     return x
 
 
+def by_patterns(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The sequences that patterns lay out, of ascending lengths; what they use is taken from ``left``."""
+    out: list[tuple[tuple[int, ...], int]] = []
+    while left.any():
+        have, laid, rest = lengths[left > 0], len(out), {}
+        rows = _patterns(have, capacity)
+        x = _repeats(rows, have, left[left > 0])
+        for i in np.argsort(-rows.sum(axis=1), kind="stable"):
+            ls, uses = np.unique(rows[i][rows[i] > 0], return_counts=True)
+            at, top = np.searchsorted(lengths, ls), int(rows[i][0])
+            want = x[i] + rest.get(top, 0.0)
+            n = int(min(np.floor(want + 1e-9), (left[at] // uses).min()))
+            rest[top] = want - n
+            if n > 0:
+                left[at] -= n * uses
+                out.append((tuple(int(v) for v in rows[i] if v), n))
+        if len(out) == laid:
+            break
+    return out
+
+
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, largest first; how many such sequences), using every piece once."""
     if not len(lengths):
         return []
     order = np.argsort(lengths)
     lengths, left = lengths[order], counts[order].astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    rows = _patterns(lengths, capacity)
-    x = np.floor(_repeats(rows, lengths, left)).astype(np.int64)
-    for i in np.argsort(-rows.sum(axis=1), kind="stable"):
-        if x[i] > 0:
-            ls, uses = np.unique(rows[i][rows[i] > 0], return_counts=True)
-            at = np.searchsorted(lengths, ls)
-            n = int(min(x[i], (left[at] // uses).min()))
-            if n > 0:
-                left[at] -= n * uses
-                out.append((tuple(int(v) for v in rows[i] if v), n))
+    out = by_patterns(lengths, left, capacity)
     while left.any():
         have = np.flatnonzero(left)
         used: dict[int, int] = {}
