@@ -80,6 +80,23 @@ def projected_cost(p: DataFrame, seconds: DataFrame) -> DataFrame:
     return n.select("bucket", "scenes", F.sum("scenes").over(w).alias("cum_scenes"), F.sum(F.col("scenes") * F.col("seconds")).over(w).alias("cum_seconds"))
 
 
+def medians(df: DataFrame, value: str, name: str, whole: bool = False) -> DataFrame:
+    """One row: the exact median of a column, as ``name``; ``whole``: without its fraction."""
+    both = ranked_values(df, value, {"_lo": F.floor((F.col("n") - 1) / F.lit(2.0)), "_hi": F.floor(F.col("n") / F.lit(2.0))})
+    m = (F.col("_lo") + F.col("_hi")) / F.lit(2.0)
+    return both.select((F.floor(m) if whole else m).alias(name))
+
+
+def analysis_medians(scored: DataFrame) -> DataFrame:
+    """One row that belongs to analysis_summary(): the medians of tokens and score (of five digits, so few values)."""
+    return medians(scored, "token_est", "token_median", whole=True).crossJoin(medians(scored, "score", "score_median"))
+
+
+def corpus_medians(df: DataFrame, cfg: Curation = Curation(), text: str = "text") -> DataFrame:
+    """One row that belongs to corpus_stats(): the median of tokens."""
+    return medians(df.select(X.token_estimate(text, cfg.chars_per_token).alias("tok")), "tok", "token_median", whole=True)
+
+
 def analysis_summary(scored: DataFrame, cfg: Curation = Curation()) -> DataFrame:
     """One row of an analysis: counts and averages of tokens, score and keyword hits."""
     return scored.agg(F.count("*").alias("n"), F.avg("token_est").alias("token_mean"), F.max("token_est").alias("token_max"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.avg("keyword_hits").alias("keyword_mean"), F.max("keyword_hits").alias("keyword_max"), F.count_if(F.col("token_est") > cfg.max_tokens).alias("over_max"))
