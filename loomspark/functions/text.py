@@ -22,6 +22,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(c: Column) -> Column:
+    """c, evaluated once a row. The optimizer copies costly expressions into every filter on them; it leaves those alone that a random number takes part in."""
+    return F.when(F.rand(0) >= 0, c)
+
+
 def strip(c) -> Column:
     return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+\\z", "")
 

@@ -16,7 +16,7 @@ TOKEN_EDGES = (0, 400, 800, 1200, 1600, 2000, 3000, 10**9)
 
 def profiles(df: DataFrame, keywords: list[str] | None, min_hits: int = 2, scene: str = "scene_id", pos: str = "pos", text: str = "text") -> DataFrame:
     """(scene_id, n_segments, tokens, passed) of scenes that aren't empty once cleaned."""
-    s = scenes.ordered(df, scene, pos, text).select("scene_id", F.size("segments").alias("n_segments"), X.clean(F.array_join("segments", "\n\n")).alias("_t")).where("_t <> ''")
+    s = scenes.ordered(df, scene, pos, text).select("scene_id", F.size("segments").alias("n_segments"), X.once(X.clean(F.array_join("segments", "\n\n"))).alias("_t")).where("_t <> ''")
     passed = K.hits("_t", K.pattern(keywords)) >= min_hits if keywords else F.lit(True)
     return s.select("scene_id", "n_segments", X.token_estimate("_t", 4.0, 1).alias("tokens"), passed.alias("passed"))
 

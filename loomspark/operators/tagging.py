@@ -55,9 +55,21 @@ def lexical_tagger(vocab: dict[str, list[str]]) -> Tagger:
 
 
 def lexical_tags(words: Column, vocab: dict[str, list[str]]) -> Column:
-    """The same as an expression: map of facet to labels."""
-    pairs = [x for f in FACETS for x in (F.lit(f), F.array_compact(F.array(*(F.when(F.array_contains(words, v), F.lit(v)) for v in vocab.get(f, ())))) if vocab.get(f) else F.array().cast("array<string>"))]
-    return F.create_map(*pairs)
+    """The same as an expression: map of facet to labels.
+
+    The words are met with the vocabulary once: the lambda's variable holds what they share, so no
+    label scans the text and no facet splits it again.
+    """
+    labels = list(dict.fromkeys(v for vs in vocab.values() for v in vs))
+    needed = list(dict.fromkeys(w for v in labels for w in v.split("_")))
+
+    def tags(found):
+        has = lambda v: F.forall(F.array(*(F.lit(w) for w in v.split("_"))), lambda w: F.array_contains(found, w)) if "_" in v else F.array_contains(found, v)
+        pairs = [x for f in FACETS for x in (F.lit(f), F.array_compact(F.array(*(F.when(has(v), F.lit(v)) for v in vocab[f]))) if vocab.get(f) else F.array().cast("array<string>"))]
+        return F.create_map(*pairs)
+
+    shared = F.array_intersect(words, F.array(*(F.lit(w) for w in needed)) if needed else F.array().cast("array<string>"))
+    return F.element_at(F.transform(F.array(shared), tags), 1)
 
 
 def whitelisted(labels: Column, allowed: list[str]) -> Column:

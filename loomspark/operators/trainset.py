@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +30,48 @@ def _plain(df: DataFrame, name: str) -> Column:
     return X.strip(F.coalesce(F.col(name).cast("string"), F.lit(""))) if name in df.columns else F.lit("")
 
 
-def extracted(df: DataFrame, fmt: str = "auto", text_field: str = "text", min_chars: int = 1) -> DataFrame:
-    """df with ``prompt_text`` and ``target_text``; rows that are invalid or too short are dropped. Chat: the last message is the target."""
+def judged(df: DataFrame, fmt: str = "auto", text_field: str = "text", min_chars: int = 1) -> DataFrame:
+    """df with ``prompt_text``, ``target_text`` and ``status``: ok, invalid (an empty side, or fewer than two messages) or short.
+
+    Chat: the last message is the target, and the length is that of the messages as JSON.
+    """
     fmt = detect_format(df, text_field) if fmt == "auto" else fmt
+    target, size = F.col("target_text"), F.length("target_text")
     if fmt == "text":
-        p, t, size = F.lit(""), _plain(df, text_field), None
-        ok = t != ""
+        p, t, ok = F.lit(""), _plain(df, text_field), target != ""
     elif fmt == "instruction":
         pair = {"prompt", "completion"} & set(df.columns)
         a, extra, t = (_plain(df, "prompt"), F.lit(""), _plain(df, "completion")) if pair else (_plain(df, "instruction"), _plain(df, "input"), _plain(df, "output"))
-        p, size = F.when(extra != "", F.concat(a, F.lit("\n\n"), extra)).otherwise(a), None
-        ok = (a != "") & (t != "")
+        p, ok = F.when(extra != "", F.concat(a, F.lit("\n\n"), extra)).otherwise(a), (a != "") & (target != "")
     elif fmt == "chat":
         m = F.col("messages").cast(_CHAT)
         asked = F.filter(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), lambda x: x["role"] != "assistant")
         p, t, size = F.array_join(F.transform(asked, lambda x: x["content"]), "\n"), F.try_element_at(m, F.lit(-1))["content"], F.length(F.to_json(m))
-        ok = F.size(m) >= 2
+        ok = F.coalesce(F.size(m) >= 2, F.lit(False))
     else:
         raise ValueError(f"unknown format {fmt}")
-    out = df.withColumns({"prompt_text": p, "target_text": t, "_n": F.length(t) if size is None else size})
-    return out.where(ok & (F.col("_n") >= min_chars)).drop("_n")
+    out = df.withColumns({"prompt_text": X.once(p), "target_text": X.once(t)})
+    return out.withColumn("status", F.when(~ok, "invalid").when(size >= min_chars, "ok").otherwise("short"))
+
+
+def extracted(df: DataFrame, fmt: str = "auto", text_field: str = "text", min_chars: int = 1) -> DataFrame:
+    """The rows of judged() that are ok."""
+    return judged(df, fmt, text_field, min_chars).where("status = 'ok'").drop("status")
+
+
+def validation(rows: DataFrame) -> DataFrame:
+    """(total, kept, invalid, short): one row of counts of judged() rows."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return rows.agg(F.count("*").alias("total"), n("ok").alias("kept"), n("invalid").alias("invalid"), n("short").alias("short"))
+
+
+def validated(df: DataFrame, fmt: str = "auto", text_field: str = "text", min_chars: int = 1) -> tuple[DataFrame, dict]:
+    """(rows that are ok, the counts of validation()); a table without any raises."""
+    rows = judged(df, fmt, text_field, min_chars)
+    counts = validation(rows).first().asDict()
+    if not counts["kept"]:
+        raise ValueError(f"no valid examples: {counts}")
+    return rows.where("status = 'ok'").drop("status"), counts
 
 
 def template(prompt: Column) -> Column:
@@ -58,7 +84,7 @@ def tokenized(df: DataFrame, encode, eos_id: int, add_eos: bool = True) -> DataF
     has = F.col("prompt_text") != ""
     head = F.when(has, encode(template(F.col("prompt_text")))).otherwise(F.array().cast("array<int>"))
     whole = encode(F.when(has, F.concat(template(F.col("prompt_text")), F.col("target_text"))).otherwise(F.col("target_text")))
-    step = df.withColumns({"_head": head, "_ids": whole})
+    step = df.withColumns({"_head": X.once(head), "_ids": X.once(whole)})
     if add_eos:
         step = step.withColumn("_ids", F.when(F.coalesce(F.try_element_at("_ids", F.lit(-1)) == eos_id, F.lit(False)), F.col("_ids")).otherwise(F.concat("_ids", F.array(F.lit(eos_id)))))
     return step.withColumns({"input_ids": F.col("_ids"), "labels": masked(F.col("_ids"), F.size("_head"))}).drop("_head", "_ids")
@@ -75,6 +101,45 @@ def word_encoder(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, f"{X.SPACE}+", -1), lambda w: w != ""), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(32000)).cast("int"))
 
 
+def tokenizer_encoder(path: str):
+    """A Column function from text to the ids of a tokenizer file, without special tokens; null of null. Runs on Arrow batches."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        tok = _tokenizer(path)
+        ids = iter([e.ids for e in tok.encode_batch_fast([t for t in texts if t is not None], add_special_tokens=False)])
+        return texts.map(lambda t: None if t is None else next(ids))
+
+    return run.asNondeterministic()  # else filters on lengths would have it run twice
+
+
+@functools.lru_cache(2)
+def _tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
+def chat_template(messages: Column, begin: str = "<|im_start|>", end: str = "<|im_end|>", ask: bool = False) -> Column:
+    """Messages in a chat template with begin and end marks; ``ask`` opens the assistant's answer at the end."""
+    turns = F.transform(messages.cast(_CHAT), lambda m: F.concat(F.lit(begin), m["role"], F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit(end + "\n")))
+    text = F.array_join(turns, "")
+    return F.concat(text, F.lit(begin + "assistant\n")) if ask else text
+
+
+def tokenized_chat(df: DataFrame, encode, eos_id: int, messages: str = "messages", **marks) -> DataFrame:
+    """df with ``input_ids`` and ``labels`` of templated chats: all but the last message's answer is masked."""
+    m = F.col(messages).cast(_CHAT)
+    head = chat_template(F.slice(m, 1, F.greatest(F.size(m) - 1, F.lit(0))), ask=True, **marks)
+    step = df.withColumns({"_head": X.once(encode(head)), "_ids": X.once(encode(F.concat(head, F.try_element_at(m, F.lit(-1))["content"])))})
+    step = step.withColumn("_ids", F.concat("_ids", F.array(F.lit(eos_id))))
+    return step.withColumns({"input_ids": F.col("_ids"), "labels": masked(F.col("_ids"), F.size("_head"))}).drop("_head", "_ids")
+
+
 def fitted(df: DataFrame, max_len: int, overlong: str = "drop") -> DataFrame:
     """df with ``length``: rows beyond max_len dropped, or cut with ``truncated`` set, by choice."""
     n = F.size("input_ids")

@@ -12,7 +12,7 @@ from loomspark.functions import text as X
 from loomspark.operators import dedup, profile, scenes, select, tagging, trainset
 from loomspark.operators.split import smart_split
 from loomspark.plans import curate
-from loomspark.plans.store import stored
+from loomspark.plans.store import spread, stored
 
 #: Words of the test tables that stand in for a keyword list and a vocabulary.
 KEYWORDS = ["thble", "thtion", "thing", "ering", "nicht"]
@@ -34,12 +34,17 @@ def _profiles(spark, sf_dir) -> DataFrame:
 
 
 def _tags(spark, sf_dir) -> DataFrame:
-    d = _docs(spark, sf_dir).where("text is not null")
-    return d.select(F.col("doc_id").cast("string").alias("scene_id"), X.words("text").alias("_w")).select("scene_id", tagging.lexical_tags(F.col("_w"), VOCAB).alias("facets"))
+    d = _heavy(spark, sf_dir)
+    return d.select(F.col("doc_id").cast("string").alias("scene_id"), X.words("text").alias("_w")).select("scene_id", X.once(tagging.lexical_tags(F.col("_w"), VOCAB)).alias("facets"))
+
+
+def _heavy(spark, sf_dir) -> DataFrame:
+    """Documents for steps that cost much per row."""
+    return spread(_docs(spark, sf_dir).where("text is not null"))
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    return scoring.with_score(scoring.with_metrics(_docs(spark, sf_dir).where("text is not null"), "text", KEYWORDS, CFG), CFG)
+    return scoring.with_score(scoring.with_metrics(_heavy(spark, sf_dir), "text", KEYWORDS, CFG), CFG)
 
 
 def scene_assembly(spark, sf_dir):
@@ -102,11 +107,11 @@ def keyword_filter(spark, sf_dir):
 
 
 def length_gate(spark, sf_dir):
-    return curate.examples(scenes.rows(_docs(spark, sf_dir), "doc_id"), KEYWORDS, WHOLE, min_hits=0).select("scene_id", "estimated_tokens", "original_score", "score")
+    return curate.examples(scenes.rows(_heavy(spark, sf_dir), "doc_id"), KEYWORDS, WHOLE, min_hits=0).select("scene_id", "estimated_tokens", "original_score", "score")
 
 
 def split_chunks(spark, sf_dir):
-    s = scenes.rows(_docs(spark, sf_dir), "doc_id")
+    s = scenes.rows(_heavy(spark, sf_dir), "doc_id")
     return smart_split(s, "text", CFG).select("scene_id", "chunk_index", "text")
 
 
@@ -214,21 +219,21 @@ def chat_examples(spark, sf_dir):
 
 
 def mask_labels(spark, sf_dir):
-    d = _docs(spark, sf_dir).where("text is not null").select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.col("text").alias("output"))
+    d = _heavy(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.col("text").alias("output"))
     rows = trainset.tokenized(trainset.extracted(d), trainset.word_encoder, 2)
     return trainset.fitted(rows, 2048, "drop").select("doc_id", "length", F.size(F.filter("labels", lambda x: x == trainset.IGNORED)).alias("masked"))
 
 
 def curate_whole(spark, sf_dir):
     """Examples of whole scenes without near-duplicate removal: the part of the flagship that SQL can express."""
-    s = curate.examples(scenes.rows(_docs(spark, sf_dir), "doc_id"), KEYWORDS, WHOLE, min_hits=1)
+    s = curate.examples(scenes.rows(_heavy(spark, sf_dir), "doc_id"), KEYWORDS, WHOLE, min_hits=1)
     one = dedup.exact(s.withColumn("id", F.col("scene_id").cast("long")))
     return select.train_val(one.select("scene_id", "estimated_tokens", "score"), ["scene_id"], WHOLE)
 
 
 def curate_corpus(spark, sf_dir):
     """The flagship: clean, filter, score, split, drop exact and near copies, and split into train and val."""
-    return curate.curate(scenes.rows(_docs(spark, sf_dir), "doc_id"), KEYWORDS, CFG, min_hits=1)
+    return curate.curate(scenes.rows(_heavy(spark, sf_dir), "doc_id"), KEYWORDS, CFG, min_hits=1)
 
 
 NAMES = ("scene_assembly", "row_scenes", "scene_count", "segment_count_distribution", "candidate_scenes", "seam_offsets", "clean_text", "token_estimate", "text_metrics", "scene_score", "analysis_summary", "length_score", "keyword_hits", "keyword_filter", "length_gate", "split_chunks", "exact_dedup", "near_dup_survivors", "mmr_select", "train_val_split", "bucket_sample", "profile_crosstab", "segment_coverage", "token_histogram", "corpus_stats", "corpus_ttr", "length_histogram", "length_percentiles", "vocab_candidates", "label_topk", "label_use", "facet_coverage", "closed_tag_whitelist", "resume_todo", "tagged_corpus", "entity_grounding", "chat_examples", "mask_labels", "curate_whole", "curate_corpus")

@@ -84,7 +84,7 @@ def model_split(text, cfg):
     text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
     if est(text) <= cfg.max_tokens:
         return [text]
-    pats = [r"(?im)(?=^\s*(?:#{1,6}\s+|chapter\b|глава\b|глава\s|part\b|часть\b))", r"(?m)^\s*(?:\*\s*\*\s*\*|-{3,}|—{3,}|\*{3,}|#{1,6}\s*$)\s*$", r"\n{2,}", r"\n", r"(?m)(?=^\s*[—–\-\"“«])"]
+    pats = list(split.BOUNDARIES.values())
 
     def ends(t):
         return [x.strip() for x in re.split(r"(?<=[.!?…])(?=\s)", t) if x.strip()]
