@@ -37,7 +37,8 @@ def model_near(rows, sim, shares):
     return {r[0] for r in kept}
 
 
-def test_near_is_greedy(spark):
+@pytest.mark.parametrize("last", [0, 20, 10000])
+def test_near_is_greedy(spark, last):
     rnd = random.Random(5)
     base = [[f"w{rnd.randrange(500)}" for _ in range(80)] for _ in range(6)]
     rows = []
@@ -51,7 +52,7 @@ def test_near_is_greedy(spark):
     sig = {r.id: r.signature for r in df.collect()}
     sim = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b])) / 64
     band = {k: {tuple(s[i : i + 4]) for i in range(0, 64, 4)} for k, s in sig.items()}
-    got = {r.id for r in dedup.near(df).collect()}
+    got = {r.id for r in dedup.near(df, last=last).collect()}
     assert got == model_near(rows, sim, lambda a, b: bool(band[a] & band[b]))
     assert (100 in got) + (101 in got) == 1
 
