@@ -14,16 +14,17 @@ links; its least doc_id stays.
    hashes), so either kind of link has its own; texts with equal features become one representative.
 3. Buckets of equal members count once. The members of a bucket of up to ``small`` meet in one task and
    are compared in full, through their weights, but for those that links have joined already. In a
-   larger one the least member leads, and all others are compared with it, in parallel; those
-   it doesn't match are the next round's bucket, until a round leaves none. A fifth of the bands goes
-   first; of the others, buckets that lie within one component by then are left out.
+   larger one the least members lead, and all others are compared with them, in parallel; those that
+   none matches are the next round's bucket, with twice as many leaders. A fifth of the bands goes
+   first; of the others, buckets that lie within one component by then are left out. A long text counts
+   as several members (one for each 64 KB of features), so what a task holds has a bound in bytes.
 4. Links become components by label propagation with pointer jumping.
 5. Members that a leader matched are compared with those it was tested with that lie in other
    components still, in parts of ``small`` by ``small``. Both distances (1 - Jaccard) are metrics: a pair
    whose distances to the leader differ by more than 1 - threshold, in both, is no link.
 
 Null and empty texts, and texts without a word, are alone in their class. A repeated doc_id is one
-document: its rows stay or go together. Other columns are ignored; an empty table gives no rows.
+document, whatever its texts: its rows are linked, and stay or go together. Other columns are ignored; an empty table gives no rows.
 A group of copies, however large, sends one row per block; a large group of near copies that match
 their leader is compared with it only. Every two members of a bucket of any size end in one class if
 they are linked.
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.llm import _blocks as B
@@ -212,9 +213,12 @@ def components(links: DataFrame) -> DataFrame:
         hop = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "label", F.least("label", "m").alias("to"))
         root = labels.select(F.col("id").alias("to"), F.col("label").alias("far"))
         new = B.stored(hop.join(root, "to").select("id", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("moved")))
+        B.forget(labels)
         if not new.where("moved").limit(1).count():
+            B.forget(both)
             return new.select("id", "label")
-        labels = new.select("id", "label")
+        labels = new.drop("moved")
+        labels.stored_at = new.stored_at
 
 
 def _linked(threshold: float, n: int):
@@ -260,7 +264,7 @@ def _crossed(threshold: float, n: int):
 def crossing(tested: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, n: int, small: int) -> DataFrame:
     """Links (a, b) that leaders hid: between members that a leader matched and members of other components it was tested with.
 
-    tested: (lead, rep, same, weighted, plain), the similarities of each leader and member.
+    tested: (lead, rep, w, weighted, plain), the similarities of each leader and member, and the member's weight in a task.
     """
     of = lambda c: labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
     t = tested.join(of("rep"), "rep", "left").join(of("lead"), "lead", "left").withColumn("label", F.coalesce("rep_label", "rep")).withColumn("inside", F.greatest("weighted", "plain") >= threshold)
@@ -271,11 +275,11 @@ def crossing(tested: DataFrame, labels: DataFrame, features: DataFrame, threshol
     ends = t.groupBy("lead").agg(*(end(F.min, c, True).alias(f"in_{c}") for c in ("weighted", "plain")), *(end(F.max, c, False).alias(f"out_{c}") for c in ("weighted", "plain")))
     gap = 1 - threshold + 1e-9
     close = lambda c: F.when(F.col("inside"), F.col(c) - F.col(f"out_{c}") <= gap).otherwise(F.col(f"in_{c}") - F.col(c) <= gap)
-    t = B.stored(t.join(ends.where("in_plain is not null and out_plain is not null").hint("merge"), "lead").where(close("weighted") | close("plain")).select("lead", "rep", "same", "weighted", "plain", "label", "inside"))
-    parts = t.groupBy("lead").agg(F.ceil(F.count_if("inside") / small).cast("int").alias("n_in"), F.ceil(F.count_if(~F.col("inside")) / small).cast("int").alias("n_out")).where("n_in > 0 and n_out > 0")
+    t = B.stored(t.join(ends.where("in_plain is not null and out_plain is not null").hint("merge"), "lead").where(close("weighted") | close("plain")).select("lead", "rep", "w", "weighted", "plain", "label", "inside"))
+    parts = t.groupBy("lead").agg(F.ceil(F.sum(F.when(F.col("inside"), F.col("w"))) / small).cast("int").alias("n_in"), F.ceil(F.sum(F.when(~F.col("inside"), F.col("w"))) / small).cast("int").alias("n_out")).where("n_in > 0 and n_out > 0")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("n_out")).otherwise(F.col("n_in")) - 1))
-    t = t.join(features.hint("merge"), "same").join(parts.hint("merge"), "lead").select("lead", "rep", "weighted", "plain", "label", "inside", "features", own.alias("own"), other.alias("other"))
+    t = t.join(features.hint("merge"), "rep").join(parts.hint("merge"), "lead").select("lead", "rep", "weighted", "plain", "label", "inside", "features", own.alias("own"), other.alias("other"))
     t = t.withColumn("i", F.when(F.col("inside"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("inside"), F.col("other")).otherwise(F.col("own")))
     return B.stored(t.drop("own", "other").groupBy("lead", "i", "j").applyInArrow(_crossed(threshold, n), "a long, b long"))
 
@@ -285,47 +289,86 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int
     return grouped(B.stored(sampled(docs, threshold, bands, rows)), docs.count(), threshold, bands, small)
 
 
-def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, small: int = 256) -> DataFrame:
-    """The classes of n documents from their rows of sampled()."""
-    reps = B.stored(table.where("candidate").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands", True).alias("bands")))
-    features = table.where("features is not null").groupBy("same").agg(F.first("features").alias("features"))
-    every = reps.select("rep", "same", F.posexplode("bands").alias("band", "bucket"))
-    links, tests, labels, first = [], [], None, F.col("band") % bands < max(1, bands // 5)
+def _compared(n: int):
+    """Similarities of pairs (lead, rep, w, fa, fb)."""
 
-    def compare(it):
+    def run(it):
         for t in it:
             s = [similarities(weighed(x, n), weighed(y, n)) for x, y in zip(t.column(3).to_pylist(), t.column(4).to_pylist())]
-            yield pa.record_batch([*t.columns[:3], *(pa.array([v[k] for v in s], pa.float64()) for k in (0, 1))], ["lead", "rep", "same", "weighted", "plain"])
+            yield pa.record_batch([*t.columns[:3], *(pa.array([v[k] for v in s], pa.float64()) for k in (0, 1))], ["lead", "rep", "w", "weighted", "plain"])
+
+    return run
 
+
+def _bucket_links(rows: DataFrame, features: DataFrame, threshold: float, n: int, small: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(links, tests) of the buckets of rows (key, rep, w, part); those within one part have nothing to add.
+
+    A bucket of weight ``small`` or less is one task. In a larger one, the least members lead: one in the
+    first round, twice as many in each further one, so a bucket of n takes some ln n rounds even if nothing matches.
+    """
+    links, tests, leaders, open_ = [], [], 1, rows
+    while True:
+        # equal buckets of several bands, by weight, least member and a fingerprint, count once
+        each = open_.groupBy("key").agg(F.sum("w").alias("n"), F.min("rep").alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
+        buckets = B.stored(each.groupBy("n", "lead", "x").agg(F.min("key").alias("key")).select("key", "n", "lead"))
+        met = open_.join(buckets.hint("merge"), "key")
+        few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small)
+        got = B.stored(few.select("key", "rep").join(features.hint("merge"), "rep"))
+        links.append(B.stored(got.groupBy("key").applyInArrow(_linked(threshold, n), "a long, b long")))
+        B.forget(got)
+        if not buckets.where(F.col("n") > small).limit(1).count():
+            B.forget(buckets, open_)
+            return links, tests
+        many = B.stored(many.select("key", "rep", "w", "part", "lead"))
+        if leaders == 1:
+            heads = many.where("rep = lead").select("key", "lead")
+        else:
+            first = Window.partitionBy("key").orderBy("rep")  # limited before the shuffle too
+            heads = many.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= leaders).select("key", F.col("rep").alias("lead"))
+        heads = B.stored(heads)
+        pairs = many.drop("lead").join(heads, "key").where("lead < rep")
+        need = B.stored(pairs.select("lead", "rep", "w").distinct())
+        a, b = features.select(F.col("rep").alias("lead"), F.col("features").alias("fa")), features.select("rep", F.col("features").alias("fb"))
+        tested = B.stored(need.join(b.hint("merge"), "rep").join(a.hint("merge"), "lead").select("lead", "rep", "w", "fa", "fb").mapInArrow(_compared(n), "lead long, rep long, w long, weighted double, plain double"))
+        tests.append(tested)
+        like = F.greatest("weighted", "plain") >= threshold
+        links.append(tested.where(like).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+        # on go those that led nothing and that no leader of their bucket matched
+        matched = pairs.join(tested.where(like).select("lead", "rep"), ["lead", "rep"], "left_semi").select("key", "rep")
+        gone = matched.unionByName(heads.select("key", F.col("lead").alias("rep"))).distinct()
+        rest = B.stored(many.drop("lead").join(gone, ["key", "rep"], "left_anti"))
+        B.forget(buckets, many, heads, need, open_)
+        open_, leaders = rest, min(2 * leaders, 64)
+
+
+def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, small: int = 256) -> DataFrame:
+    """The classes of n documents from their rows of sampled()."""
+    least = table.where("candidate").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands", True).alias("bands"), F.first("features", True).alias("features"))
+    # a long text counts as several members, so a task's features have a bound in bytes
+    reps = B.stored(least.withColumn("w", 1 + F.floor(F.length("features") / F.lit(1 << 16))))
+    features, links, tests, labels, made = reps.select("rep", "features"), [], [], None, []
+    first = F.col("band") % bands < max(1, bands // 5)
     # A few bands join most near copies; of the others, buckets within one component have nothing to add.
-    for part in (every.where(first), every.where(~first)):
-        open_ = part.withColumn("part", F.col("rep")) if labels is None else part.join(labels.select(F.col("id").alias("rep"), "label").hint("merge"), "rep", "left").select(*part.columns, F.coalesce("label", "rep").alias("part"))
-        open_ = B.stored(open_)
-        while True:
-            h = F.xxhash64("rep")
-            each = open_.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.min("rep").alias("lead"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 16)).alias("y"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
-            buckets = B.stored(each.groupBy("n", "lead", "x", "y").agg(F.min_by(F.struct("band", "bucket"), F.struct("band", "bucket")).alias("k")).select("k.band", "k.bucket", "n", "lead"))
-            met = open_.join(buckets.hint("merge"), ["band", "bucket"])
-            # one join brings the features of all who need them: members of small buckets, and pairs of members and leaders of large ones
-            few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small)
-            need = few.select("band", "bucket", F.lit(None).cast("long").alias("lead"), "rep", "same").unionByName(many.select("lead", "rep", "same").distinct().select(F.lit(None).cast("int").alias("band"), F.lit(None).cast("long").alias("bucket"), "lead", "rep", "same"))
-            got = B.stored(need.join(features.hint("merge"), "same").select("band", "bucket", "lead", "rep", "same", "features"))
-            links.append(B.stored(got.where("lead is null").select("band", "bucket", "rep", "features").groupBy("band", "bucket").applyInArrow(_linked(threshold, n), "a long, b long")))
-            if not buckets.where(F.col("n") > small).limit(1).count():
-                break
-            a = got.where("rep = lead").select("lead", F.col("features").alias("fa"))
-            b = got.where("rep <> lead").select("lead", "rep", "same", F.col("features").alias("fb"))
-            tested = B.stored(b.join(a.hint("merge"), "lead").select("lead", "rep", "same", "fa", "fb").mapInArrow(compare, "lead long, rep long, same binary, weighted double, plain double").withColumn("similarity", F.greatest("weighted", "plain")))
-            tests.append(tested)
-            links.append(tested.where(F.col("similarity") >= threshold).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-            many = many.where("rep <> lead")
-            open_ = B.stored(many.join(tested.where(F.col("similarity") < threshold).select("lead", "rep"), ["lead", "rep"], "left_semi").select("rep", "same", "band", "bucket", "part"))
+    for mine in (first, ~first):
+        parts = reps.select("rep", "w", "bands", F.col("rep").alias("part"))
+        if labels is not None:
+            of = labels.select(F.col("id").alias("rep"), "label").hint("merge")
+            parts = B.stored(parts.join(of, "rep", "left").select("rep", "w", "bands", F.coalesce("label", "rep").alias("part")))
+            made.append(parts)
+        rows = parts.select("rep", "w", "part", F.posexplode("bands").alias("band", "bucket")).where(mine).select(F.xxhash64("band", "bucket").alias("key"), "rep", "w", "part")
+        more, tried = _bucket_links(rows, features, threshold, n, small)
+        links, tests = links + more, tests + tried
         labels = components(functools.reduce(DataFrame.unionByName, links))
+    again = []
     if tests:
-        more = crossing(functools.reduce(DataFrame.unionByName, tests).drop("similarity"), labels, features, threshold, n, small)
-        if more.limit(1).count():
-            labels = components(functools.reduce(DataFrame.unionByName, [*links, more]))
-    of = table.where("candidate").select("doc_id", "same").join(reps.select("same", "rep"), "same")
+        again.append(crossing(functools.reduce(DataFrame.unionByName, tests), labels, features, threshold, n, small))
+    of = table.where("candidate").select("doc_id", "same").join(reps.select("same", "rep"), "same").select("doc_id", "rep")
+    of = B.stored(of.unionByName(table.where("not candidate").select("doc_id", F.col("doc_id").alias("rep"))))
+    # the texts of a repeated doc_id are one document
+    twice = of.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z")
+    again.append(B.stored(of.join(twice, "doc_id").where("rep > a").select("a", F.col("rep").alias("b"))))
+    if any(x.limit(1).count() for x in again):
+        labels = components(functools.reduce(DataFrame.unionByName, [*links, *again]))
+    B.forget(*made, *tests, *again, *links)
     of = of.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    both = of.unionByName(table.where("not candidate").select("doc_id", F.col("doc_id").alias("class_id")))
-    return both.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return of.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
