@@ -13,6 +13,8 @@ exchange, which Spark runs once and reads twice (once to answer, once to finish)
 
 from __future__ import annotations
 
+import atexit
+import ctypes
 import functools
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,6 +31,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Most text bytes of one block; a longer single document is a block of its own.
 BLOCK_BYTES = 24 << 20
+#: Input bytes per owner of keys, at most: what an owner gathers doesn't grow with the data.
+OWNER_BYTES = 32 << 20
+#: Bytes of one Arrow batch of texts, where the session has left that open.
+BATCH_BYTES = 8 << 20
 ROW = "k long, kind byte, block long, check long, blob binary"
 _KEY = pa.schema([("k", pa.int64()), ("kind", pa.int8()), ("block", pa.int64()), ("check", pa.int64()), ("blob", pa.binary())])
 _ANSWER = "block long, part long, check long, blob binary"
@@ -93,6 +99,7 @@ def offsets_of(a: pa.Array) -> np.ndarray:
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.Array, ...]]:
     """(doc_id, text) arrays of at most ``limit`` bytes, with any further columns; null texts count as empty."""
     for b in batches:
+        trim()
         ids, texts = b.column(0), pc.fill_null(b.column(1).cast(pa.string()), "")
         n, i = len(ids), 0
         off = offsets_of(texts).astype(np.int64)
@@ -102,8 +109,40 @@ def text_slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple
             i = j
 
 
-def owners_of(spark: SparkSession) -> int:
-    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and local rows that df is made from, as its plan states them; 0 for those it can't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def owners_of(docs: DataFrame) -> int:
+    """How many owners the keys of docs are dealt to: by the session's partitions, and more where the input needs them."""
+    return max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // OWNER_BYTES))
+
+
+try:
+    _malloc_trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # not glibc
+
+    def _malloc_trim(_):
+        return 0
+
+
+def trim() -> None:
+    """Give freed memory back: workers live from stage to stage, and what one block needed would stay with them."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim(0)
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of texts by bytes: ten thousand long texts at once are far more than a block."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if int(spark.conf.get(key)) > BATCH_BYTES:
+            spark.conf.set(key, BATCH_BYTES)
+    except Exception:  # noqa: BLE001 a Spark without this setting counts rows only
+        return
 
 
 def plain_columns() -> list:
@@ -116,7 +155,8 @@ def deal(docs: DataFrame, keys: Callable, limit: int = BLOCK_BYTES, carry: tuple
     keys(ids, texts, owners) -> (list of (owner, blob), fingerprint int): the block's distinct keys.
     carry: at most one more column, to travel with the texts.
     """
-    owners = owners_of(docs.sparkSession)
+    owners = owners_of(docs)
+    modest(docs.sparkSession)
 
     def send(batches):
         part, seq = TaskContext.get().partitionId(), 0
@@ -135,7 +175,7 @@ def rows_of(block: int, check: int, texts: bytes, parts: list[tuple[int, bytes]]
     return pa.table([pa.array(x, t.type) for x, t in zip([[block, *(p for p, _ in parts)], [TEXTS] + [KEYS] * n, [block] * (n + 1), [check] * (n + 1), [texts, *(b for _, b in parts)]], _KEY)], schema=_KEY)
 
 
-def meet(rows: DataFrame, answer: Callable, finish: Callable, schema: str, facts: DataFrame | None = None) -> DataFrame:
+def meet(rows: DataFrame, owners: int, answer: Callable, finish: Callable, schema: str, facts: DataFrame | None = None) -> DataFrame:
     """Let the owners answer the keys of rows from deal() and finish each block with their answers.
 
     answer(list of (block, blob)) -> list of (block, blob): of one owner, in the same order of keys.
@@ -144,12 +184,12 @@ def meet(rows: DataFrame, answer: Callable, finish: Callable, schema: str, facts
     The fingerprint is compared at the end: should an unstable input have been read twice with
     different rows, the job stops rather than return wrong rows.
     """
-    spark = rows.sparkSession
-    owners, n = owners_of(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = owners
     empty = to_arrow_schema(T.StructType.fromDDL(schema)).empty_table()
 
     def reply(t: pa.Table, *known: pa.Table) -> pa.Table:
         t = t.filter(pc.equal(t["kind"], KEYS))
+        trim()
         block, check = t["block"].to_pylist(), dict(zip(t["block"].to_pylist(), t["check"].to_pylist()))
         out = list(answer(list(zip(block, t["blob"].to_pylist())), *known)) if block else []
         k = t["k"][0].as_py() if block else 0
@@ -159,6 +199,7 @@ def meet(rows: DataFrame, answer: Callable, finish: Callable, schema: str, facts
         left = left.filter(pc.equal(left["kind"], TEXTS))
         if not len(left):
             return empty
+        trim()
         check = left["check"][0].as_py()
         if len(left) > 1 or set(right["check"].to_pylist()) - {check}:
             raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
@@ -179,7 +220,7 @@ def exchange(docs: DataFrame, keys: Callable, answer: Callable, finish: Callable
     def end(blob, answers, owners, block, _check):
         return finish(*unpack_texts(blob), answers, owners, block)
 
-    return meet(deal(docs, keys, limit), answer, end, schema, facts)
+    return meet(deal(docs, keys, limit), owners_of(docs), answer, end, schema, facts)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "byte": pa.int8(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
@@ -196,18 +237,62 @@ def table(schema: str, *columns) -> pa.Table:
     return pa.table([c if isinstance(c, (pa.Array, pa.ChunkedArray)) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, s)], schema=s)
 
 
+_made: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder of this application below spark.checkpoint.dir. Only a local master may do without that setting (tests): then below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, *partition: str) -> DataFrame:
-    """df, written to the shared folder and read again: computed once, safe from lost executors."""
-    path = shared_dir(df.sparkSession)
+    """df, written to the shared folder and read again: computed once, safe from lost executors. forget() deletes it, or the end of the driver."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition) if partition else w).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    _made[path] = spark
+    return out
+
+
+def _delete(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of stored() that no later plan reads."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "stored_at", None)):
+            _delete(path)
+
+
+def forget_since(mark: set[str], *but: DataFrame) -> None:
+    """Delete what stored() has made since ``mark`` = made(), but for these tables."""
+    for path in set(_made) - mark - {getattr(t, "stored_at", None) for t in but}:
+        _delete(path)
+
+
+def made() -> set[str]:
+    return set(_made)
+
+
+@atexit.register
+def _clear() -> None:
+    for path in list(_made):
+        try:
+            _delete(path)
+        except Exception:  # noqa: BLE001 the JVM may be gone already
+            return
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,14 +30,14 @@ def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return codes, off, words
 
 
-_CHUNK, _BASE = 1 << 20, 0x9E3779B97F4A7C15
+CHUNK, _BASES = 1 << 18, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-@functools.lru_cache(1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse."""
-    n = _CHUNK + 1024
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+@functools.lru_cache(2)
+def powers(base: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of one of two odd bases modulo 2**64, and of its inverse."""
+    n = CHUNK + 1024
+    up, down = np.full(n, _BASES[base], np.uint64), np.full(n, pow(_BASES[base], -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
@@ -57,7 +57,7 @@ def hash64(words: pa.Array) -> np.ndarray:
     out, i = np.zeros(len(words), np.uint64), 0
     data = np.frombuffer(buf, np.uint8) if buf is not None else np.empty(0, np.uint8)
     while i < len(words):
-        j = int(np.searchsorted(off, off[i] + _CHUNK, side="right")) - 1
+        j = int(np.searchsorted(off, off[i] + CHUNK, side="right")) - 1
         if j <= i:  # one very long string
             out[i] = xxhash.xxh3_64_intdigest(data[off[i] : off[i + 1]].tobytes())
             i += 1

@@ -108,7 +108,7 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches:
     hashes, index = B.stored(line_hashes(docs, batches, min_chars), "batch"), LineRuns(spark)
     for b in range(batches):
         index.add(hashes.where(F.col("batch") == b).select("hi", "lo", "docs"))
-    owners = B.owners_of(spark)
+    owners = B.owners_of(docs)
     frequent = index.frequent(min_docs).select(F.pmod(F.col("hi"), F.lit(owners)).alias("k"), "hi", "lo")
 
     def dealt(texts, n):

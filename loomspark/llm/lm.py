@@ -59,8 +59,8 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 def count_words(docs: DataFrame) -> DataFrame:
     """Training counts of all words, one row per owner: words joined by newlines, counts, sums."""
-    spark = docs.sparkSession
-    owners, n = B.owners_of(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    owners = B.owners_of(docs)
+    B.modest(docs.sparkSession)
 
     def send(it):
         for ids, texts in B.text_slices(it, B.BLOCK_BYTES):
@@ -81,7 +81,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         return B.table(_COUNTS, [t["k"][0].as_py()], [B.pack("\n".join(words.dictionary.to_pylist()).encode())], [B.pack(c)], [int(c.sum())], [len(c)])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return B.stored(rows.mapInArrow(send, "k long, blob binary").repartition(n, "k").groupBy("k").applyInArrow(add, _COUNTS))
+    return B.stored(rows.mapInArrow(send, "k long, blob binary").repartition(owners, "k").groupBy("k").applyInArrow(add, _COUNTS))
 
 
 def _opened(words: bytes, counts: bytes) -> tuple[pa.Array, np.ndarray]:

@@ -70,7 +70,7 @@ def op4_packing(spark, sf_dir):
 def op7_suffix_dedup(spark, sf_dir):
     from loomspark.llm import suffix_dedup
 
-    return suffix_dedup.cut_repeats(B.documents(spark, sf_dir)).drop("kept")
+    return suffix_dedup.cut_repeats(B.documents(spark, sf_dir), kept="")
 
 
 def queries():

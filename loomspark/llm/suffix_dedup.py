@@ -2,7 +2,8 @@
 
 Anchors: every 200-byte window of a text has an anchor, the 64-byte substring in it with the least
 hash (the leftmost, if equal). Equal windows have equal anchors at equal places, so a window can
-only repeat where its anchor does. The windows of one anchor occurrence, a run of neighbours, form a segment.
+only repeat where its anchor does. The windows of one anchor occurrence, a run of neighbours, form a
+segment (136 windows, 336 bytes at most).
 
 1. Blocks send their distinct (anchor, segment) hashes to the anchors' owners. An anchor that occurs
    once is done: nothing near it repeats. Segments equal as a whole repeat as a whole.
@@ -10,11 +11,12 @@ only repeat where its anchor does. The windows of one anchor occurrence, a run o
    array over them in two stages: suffixes smaller than their successors are sorted directly (to a
    depth of 200), all others are induced by scanning the buckets; neighbours whose common prefix
    reaches 200 are repeated windows.
-3. Blocks mark the windows, merge the bytes that they cover into spans, and cut these out.
+3. Blocks merge the byte ranges of the windows into spans, and cut these out.
 
 An anchor with more than ``crowd`` different segments, such as the edge of a passage that a third of
-all texts share, is split: its windows are dealt by their own 128-bit hash, any number of tasks.
-Segments and such windows count as equal when their hashes (128 bits with the anchor's) are.
+all texts share, is split: its windows are dealt by their own hash, any number of tasks.
+Segments, and such windows, count as equal when two independent 64-bit hashes of their bytes are.
+``n_sorted`` counts the windows that a suffix array found.
 
 Null counts as empty; texts under 200 bytes stay whole. Repeated rows are texts of their own, so
 long ones vanish; other columns are ignored; an empty table gives no rows. Strings are judged on the
@@ -26,79 +28,93 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm import _blocks as B
-from loomspark.llm._words import fold, mixed, powers
+from loomspark.llm._words import CHUNK, fold, mixed, powers
 
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_sorted long"
+_KEPT = {"bytes": ", kept binary", "text": ", kept string", "": ""}
 SPAN, GRAM = 200, 64
 _REACH = SPAN - GRAM + 1  # anchors to choose from in a window
-_CHUNK, _LIMIT, _SA_BYTES = 1 << 20, 12 << 20, 2 << 20
+_LIMIT, _SA_BYTES = 12 << 20, 2 << 20
 _NONE, _ALL, _SORT, _SORT_ALL, _HASH, _HASH_ALL = range(6)  # what an owner says about a segment
 
 
 # --- anchors -----------------------------------------------------------------------------------
 
 
-def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, segment hash, first window, windows) of every anchor occurrence of texts laid end to end."""
-    up, down = powers()
-    out = []
-    starts = np.flatnonzero(np.diff(off) >= SPAN)
+def _jobs(off: np.ndarray):
+    """Lists of (start, windows) of at most CHUNK bytes: short texts together, long ones in parts that overlap."""
     todo, size = [], 0
-    jobs = []
-    for i in starts:  # short texts together, long ones in parts that overlap
-        for s in range(int(off[i]), int(off[i + 1]) - SPAN + 1, _CHUNK):
-            n = min(_CHUNK, int(off[i + 1]) - SPAN + 1 - s)
-            if size + n + SPAN > _CHUNK and todo:
-                jobs.append(todo)
+    for i in np.flatnonzero(np.diff(off) >= SPAN):
+        for s in range(int(off[i]), int(off[i + 1]) - SPAN + 1, CHUNK):
+            n = min(CHUNK, int(off[i + 1]) - SPAN + 1 - s)
+            if size + n + SPAN > CHUNK and todo:
+                yield todo
                 todo, size = [], 0
             todo.append((s, n))
             size += n + SPAN - 1
     if todo:
-        jobs.append(todo)
-    for todo in jobs:
+        yield todo
+
+
+def _sums(b: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial in the bytes, and what makes a difference of them independent of its place."""
+    up, down = powers(base)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+    return sums, down
+
+
+def _spans_hash(sums: np.ndarray, down: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return mixed((sums[a + n] - sums[a]) * down[a] ^ (n.astype(np.uint64) << np.uint64(40)))
+
+
+def segments(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(anchor hash, two hashes of the segment, first window, windows) of every anchor occurrence of texts laid end to end."""
+    out, low = [], np.uint64((1 << 22) - 1)
+    for todo in _jobs(off):
         b = np.concatenate([data[s : s + n + SPAN - 1] for s, n in todo])
-        sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        sums, down = _sums(b, 0)
         h = mixed((sums[GRAM:] - sums[:-GRAM]) * down[: len(b) - GRAM + 1])
-        low = np.uint64((1 << 22) - 1)
         m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         w = 1
         while 2 * w <= _REACH:
             m = np.minimum(m[:-w], m[w:])
             w *= 2
         m = np.minimum(m[: len(m) - (_REACH - w)], m[_REACH - w :]) & low
-        at, base, ok = 0, [], []
-        for s, n in todo:
-            base.append((at, s))
-            ok.append(np.arange(at, at + n))
-            at += n + SPAN - 1
-        j = np.concatenate(ok)
+        size = np.array([n for _, n in todo])
+        begin = np.cumsum(size + SPAN - 1) - (size + SPAN - 1)
+        j = _runs(begin, size)
         anchor = m[j].astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (j[1:] != j[:-1] + 1)]))
-        a = j[first]
-        n = np.diff(np.append(first, len(j)))
-        end = a + n + SPAN - 1
-        sh = mixed((sums[end] - sums[a]) * down[a] ^ (n.astype(np.uint64) << np.uint64(40)))
-        begin, real = np.array([x for x, _ in base]), np.array([s for _, s in base])
+        a, n = j[first], np.diff(np.append(first, len(j)))
         k = np.searchsorted(begin, a, side="right") - 1
-        out.append((mixed(h[anchor[first]] * np.uint64(3)), sh, a - begin[k] + real[k], n))  # least hashes are small: spread them
+        # the least hashes are small: spread them. An anchor's hash only gathers segments, so few bits will do
+        fp = mixed(h[anchor[first]] * np.uint64(3)) & ~np.uint64(0xFFFF)
+        out.append((fp, _spans_hash(sums, down, a, n + SPAN - 1), _spans_hash(*_sums(b, 1), a, n + SPAN - 1), a - begin[k] + np.array([s for s, _ in todo])[k], n))
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _distinct(fp, sh):
-    """(order by anchor and segment hash, index of each distinct pair's first in it)."""
-    order = np.lexsort((sh, fp))
-    f, s = fp[order], sh[order]
-    return order, np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (s[1:] != s[:-1])])) if len(f) else np.empty(0, np.int64)
+def window_hashes(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two hashes of each window of segments, as rows."""
+    out = []
+    for s, k in zip(start.tolist(), n.tolist()):
+        b, at = data[s : s + k + SPAN - 1], np.arange(k)
+        out.append(np.stack([_spans_hash(*_sums(b, base), at, np.full(k, SPAN)) for base in (0, 1)], axis=1))
+    return np.concatenate(out)
+
+
+def _distinct(fp, s1, s2):
+    """(order by anchor and segment hashes, index of each distinct segment's first in it)."""
+    order = np.lexsort((s2, s1, fp))
+    keys = [x[order] for x in (fp, s1, s2)]
+    return order, np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(fp) else np.empty(0, np.int64)
 
 
 def _owner(fp: np.ndarray, owners: int) -> np.ndarray:
@@ -211,22 +227,26 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(ids, texts, owners):
-    fp, sh, _, _ = segments(*_bytes_of(texts))
-    order, first = _distinct(fp, sh)
-    f, s, n = fp[order][first], sh[order][first], np.minimum(2, np.diff(np.append(first, len(order)))).astype(np.uint8)
+    fp, s1, s2, _, _ = segments(*_bytes_of(texts))
+    order, first = _distinct(fp, s1, s2)
+    one = order[first]
+    f, n = fp[one], np.minimum(2, np.diff(np.append(first, len(order)))).astype(np.uint8)
     at = np.searchsorted(_owner(f, owners), np.arange(owners + 1))
-    return [(p, B.pack(np.diff(f[i:j], prepend=np.uint64(0)), s[i:j], n[i:j])) for p, (i, j) in enumerate(zip(at, at[1:])) if i < j], fold(f ^ s)
+    return [(p, B.pack(np.diff(f[i:j], prepend=np.uint64(0)), s1[one[i:j]], s2[one[i:j]], n[i:j])) for p, (i, j) in enumerate(zip(at, at[1:])) if i < j], fold(s1[one] ^ s2[one])
 
 
 def _say(crowd: int):
     def answer(asked):
         lists = [B.unpack(b) for _, b in asked]
-        fp = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _, _ in lists])
-        sh, n = np.concatenate([s for _, s, _ in lists]), np.concatenate([c for _, _, c in lists]).astype(np.int64)
-        order = np.lexsort((np.arange(len(fp)), sh, fp))
-        f, s = fp[order], sh[order]
+        size = [len(d) for d, *_ in lists]
+        fp = np.concatenate([np.cumsum(d, dtype=np.uint64) for d, *_ in lists])
+        s1, s2 = (np.concatenate([x[i] for x in lists]) for i in (1, 2))
+        n = np.concatenate([x[3] for x in lists]).astype(np.int64)
+        del lists
+        order = np.lexsort((np.arange(len(fp)), s2, s1, fp))
+        f, s1, s2 = fp[order], s1[order], s2[order]
         new_f = np.concatenate([[True], f[1:] != f[:-1]])
-        new = new_f | np.concatenate([[True], s[1:] != s[:-1]])
+        new = new_f | np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])])
         pair, anchor = np.cumsum(new) - 1, np.cumsum(new_f) - 1
         many = np.bincount(pair, n[order])[pair] > 1
         kinds = np.bincount(anchor, new)[anchor]
@@ -235,9 +255,9 @@ def _say(crowd: int):
         said = np.where((kinds > crowd) & (said >= _SORT), said + 2, said)
         code, i = np.empty(len(fp), np.uint8), 0
         code[order] = said
-        for (block, _), (d, _, _) in zip(asked, lists):
-            yield block, B.pack(code[i : i + len(d)])
-            i += len(d)
+        for (block, _), k in zip(asked, size):
+            yield block, B.pack(code[i : i + k])
+            i += k
 
     return answer
 
@@ -250,8 +270,8 @@ def _second(blob, answers, owners, block, check):
     """Mark what is settled, and send the segments that must be sorted and the windows that must be hashed."""
     _, texts, *_ = B.unpack_texts(blob)
     data, off = _bytes_of(texts)
-    fp, sh, start, n = segments(data, off)
-    order, first = _distinct(fp, sh)
+    fp, s1, s2, start, n = segments(data, off)
+    order, first = _distinct(fp, s1, s2)
     said = np.concatenate([B.unpack(answers[p])[0] for p in sorted(answers)]) if answers else np.empty(0, np.uint8)
     each = np.empty(len(fp), np.uint8)
     each[order] = np.repeat(said, np.diff(np.append(first, len(order))))
@@ -264,15 +284,14 @@ def _second(blob, answers, owners, block, check):
         if i < j:
             mine = sort[i:j]
             size = n[mine] + SPAN - 1
-            parts.append((p, B.pack(fp[mine], size.astype(np.uint32), data[_runs(start[mine], size)].tobytes())))
+            parts.append((p, B.pack(fp[mine], size.astype(np.uint32), b"".join(data[a : a + k].tobytes() for a, k in zip(start[mine].tolist(), size.tolist())))))
             asked.append((p, start[mine], n[mine]))
     crowd = one[np.isin(said, (_HASH, _HASH_ALL))]
     if len(crowd):
-        places = _runs(start[crowd], n[crowd])
-        raw = data.tobytes()
-        h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + SPAN]) for i in places.tolist()), np.uint64).reshape(-1, 2)
-        o = np.lexsort((h[:, 1], h[:, 0] % np.uint64(owners)))
-        at = np.searchsorted((h[:, 0] % np.uint64(owners))[o], np.arange(owners + 1))
+        places, h = _runs(start[crowd], n[crowd]), window_hashes(data, start[crowd], n[crowd])
+        own = h[:, 0] % np.uint64(owners)
+        o = np.lexsort((h[:, 1], own))
+        at = np.searchsorted(own[o], np.arange(owners + 1))
         for p, (i, j) in enumerate(zip(at, at[1:])):
             if i < j:
                 parts.append((owners + p, B.pack(h[o[i:j], 0], h[o[i:j], 1])))
@@ -312,45 +331,62 @@ def _sort(asked):
         i += len(f)
 
 
-def _cut(blob, answers, owners, block, _check):
-    n_state = int.from_bytes(blob[:8], "little")
-    state = B.unpack(blob[8 : 8 + n_state])
-    ids, texts, *carried = B.unpack_texts(blob[8 + n_state :])
-    data, off = _bytes_of(texts)
-    begins = [_runs(state[0], state[1])]
-    for i in range(2, len(state), 3):
-        places = _runs(state[i + 1], state[i + 2])
-        begins.append(places[np.unpackbits(np.frombuffer(answers[int(state[i][0])], np.uint8), count=len(places)).astype(bool)])
-    step = np.zeros(len(data) + 1, np.int32)
-    b = np.concatenate(begins)
-    np.add.at(step, b, 1)
-    np.add.at(step, b + SPAN, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    first = gone.copy()
-    first[1:] &= ~gone[:-1]
-    inner = off[(off > 0) & (off < len(data))]
-    first[inner] = gone[inner]
-    run = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[off])
-    kept = [data[a:z][~gone[a:z]].tobytes() for a, z in zip(off, off[1:])]
-    out = B.table(SCHEMA, ids, np.diff(off), run(gone), run(first), [hashlib.sha256(k).hexdigest() for k in kept], kept)
-    return out.append_column("carried", carried[0]) if carried else out
-
-
-def cut_repeats(docs: DataFrame, crowd: int = 4096, carry: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes); with ``carry`` its other columns in ``carried``."""
+def _spans(begin: np.ndarray, end: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, begin, end) of the maximal runs that byte ranges cover; a range lies within one text."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], end[order]
+    text = np.searchsorted(off, begin, side="right") - 1
+    far = np.maximum.accumulate(end) if len(end) else end
+    first = np.flatnonzero(np.concatenate([[True], (begin[1:] > far[:-1]) | (text[1:] != text[:-1])])) if len(begin) else np.empty(0, np.int64)
+    return text[first], begin[first], far[np.append(first[1:], len(begin)) - 1] if len(begin) else end
+
+
+def _cut(schema: str, kept_as: str):
+    def run(blob, answers, owners, block, _check):
+        n_state = int.from_bytes(blob[:8], "little")
+        state = B.unpack(blob[8 : 8 + n_state])
+        ids, texts, *carried = B.unpack_texts(blob[8 + n_state :])
+        data, off = _bytes_of(texts)
+        begins, ends, by_sort = [state[0]], [state[0] + state[1] + SPAN - 1], []
+        for i in range(2, len(state), 3):
+            p, places = int(state[i][0]), _runs(state[i + 1], state[i + 2])
+            hit = places[np.unpackbits(np.frombuffer(answers[p], np.uint8), count=len(places)).astype(bool)]
+            begins.append(hit)
+            ends.append(hit + SPAN)
+            if p < owners:
+                by_sort.append(hit)
+        text, begin, end = _spans(np.concatenate(begins), np.concatenate(ends), off)
+        per = lambda i, w=None: np.bincount(i, w, len(ids)).astype(np.int64)
+        found = np.searchsorted(off, np.concatenate(by_sort), side="right") - 1 if by_sort else np.empty(0, np.int64)
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for t, a, z in zip(text.tolist(), begin.tolist(), end.tolist()):
+            cuts.setdefault(t, []).append((a, z))
+        kept, sha, raw = [], [], memoryview(data)
+        for t, (a, z) in enumerate(zip(off.tolist(), off[1:].tolist())):
+            if t in cuts:
+                edges = [a, *(x for c in cuts[t] for x in c), z]
+                k = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+            else:
+                k = raw[a:z]
+            sha.append(hashlib.sha256(k).hexdigest())
+            if kept_as:
+                kept.append(bytes(k).decode("utf-8", "ignore") if kept_as == "text" else bytes(k))
+        out = B.table(schema, ids, np.diff(off), per(text, end - begin), per(text), sha, per(found), *([kept] if kept_as else []))
+        return out.append_column("carried", carried[0]) if carried else out
+
+    return run
+
+
+def cut_repeats(docs: DataFrame, crowd: int = 4096, carry: bool = False, kept: str = "bytes") -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_sorted, and what remains in ``kept``.
+
+    kept: "bytes"; "text", without the bytes of characters that were cut in two; or "" for none.
+    With ``carry`` the other columns follow in ``carried``.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    extra, schema = (), SCHEMA
+    extra, schema = (), SCHEMA + _KEPT[kept]
     if carry and others:
         extra = (F.struct(*(F.col(f"`{c}`") for c in others)).alias("carried"),)
-        schema = SCHEMA + ", carried " + docs.select(*extra).schema[0].dataType.simpleString()
-    return B.meet(B.meet(B.deal(docs, _ask, _LIMIT, extra), _say(crowd), _second, B.ROW), _sort, _cut, schema)
-
-
-def whole_characters(column: str):
-    """Bytes as text, without the bytes of characters that were cut in two."""
-
-    @F.pandas_udf("string")
-    def text(b: pd.Series) -> pd.Series:
-        return b.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    return text(column)
+        schema += ", carried " + docs.select(*extra).schema[0].dataType.simpleString()
+    owners = B.owners_of(docs)
+    return B.meet(B.meet(B.deal(docs, _ask, _LIMIT, extra), owners, _say(crowd), _second, B.ROW), owners, _sort, _cut(SCHEMA + _KEPT[kept], kept), schema)
