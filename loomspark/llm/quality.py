@@ -1,10 +1,11 @@
 """Quality classifier: naive-Bayes support vectors over n-gram indicators.
 
-A text's features are the byte pairs and (hashed) byte triples it holds and how often a word
-follows itself. Class counts of every feature are summed over all labelled training rows; their
-log ratios scale the indicators. A linear hinge-loss model on a bounded sample of those rows
-(``sample`` rows in expectation, chosen by hash; at most twice as many) is fitted by dual coordinate descent, and its margin is
-turned into a probability by a logistic curve fitted on a fifth of the sample kept aside.
+A text's features are n-gram indicators of two streams: its bytes (pairs, and hashed triples) and the
+gaps of its words, which write each word as the distance to its last occurrence (new, 1, 2-3, 4-7 ...; pairs
+and runs of four). Class counts of every feature are summed over all labelled training rows; their log
+ratios scale the indicators. A linear model of the hinge loss on a bounded sample of those rows (``sample``
+rows in expectation, chosen by hash; at most twice as many) is fitted by dual coordinate descent, and its
+margin is turned into a probability by a logistic curve fitted on a fifth of the sample kept aside.
 
 Null texts count as empty; empty texts get the score of a text without features. A document with
 several labels has their mean, and mean 0.5 counts as 0; null labels are no labels. Without labels
@@ -23,14 +24,29 @@ from loomspark.llm import _blocks as B
 from loomspark.llm._words import word_codes
 
 SIZE = 1 << 18
-_PAIRS, _EXTRA = 1 << 16, 16
+_PAIRS, _CODES = 1 << 16, 8
+_EXTRA = 1 + _CODES**2 + _CODES**4
 _SCORE = "doc_id long, held_out boolean, score double, predicted int"
 
 
+def gaps(codes: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each word: 0 if its text has not had it yet, else 1 + log2 of the distance to its last occurrence, 7 at most."""
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((codes, text))
+    again = np.zeros(len(codes), bool)
+    again[1:] = (codes[order][1:] == codes[order][:-1]) & (text[order][1:] == text[order][:-1])
+    out = np.zeros(len(codes), np.int64)
+    at = np.flatnonzero(again)
+    out[order[at]] = np.minimum(_CODES - 1, 1 + np.log2(order[at] - order[at - 1]).astype(np.int64))
+    return out
+
+
 def features(texts: pa.Array):
     """The distinct features of each text, ascending; the first is on in every text."""
     codes, off, _ = word_codes(texts)
-    same = np.concatenate([[0], np.cumsum(codes[1:] == codes[:-1])]) if len(codes) else np.zeros(1)
+    g = gaps(codes, off)
+    two = g[:-1] * _CODES + g[1:]
+    four = two[:-2] * _CODES**2 + two[2:]
     on, room = np.zeros(SIZE, bool), SIZE - _PAIRS - _EXTRA
     for i, t in enumerate(texts.cast(pa.binary()).to_pylist()):
         b = np.frombuffer(t, np.uint8).astype(np.uint32)
@@ -41,27 +57,24 @@ def features(texts: pa.Array):
             triple = ((pair[:-1] << 8) | b[2:]) * np.uint32(2654435761)
             on[_EXTRA + _PAIRS + (triple >> np.uint32(8)) % np.uint32(room)] = True
         a, z = off[i], off[i + 1]
-        if z - a > 1:
-            n = same[z - 1] - same[a]
-            on[1], on[2], on[3], on[4] = n >= 1, n >= 3, n * 50 >= z - a, n * 5 >= z - a
+        on[1 + two[a : max(a, z - 1)]] = True
+        on[1 + _CODES**2 + four[a : max(a, z - 3)]] = True
         u = np.flatnonzero(on)
         on[u] = False
         yield u.astype(np.int32)
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 12) -> np.ndarray:
-    """Weights of min |w|^2/2 + sum cost * max(0, 1 - y w.x)^2 by dual coordinate descent; x: scaled indicators of unit length."""
+def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 30) -> np.ndarray:
+    """Weights of min |w|^2/2 + sum cost * max(0, 1 - y w.x) by dual coordinate descent (0 <= alpha <= cost); x: scaled indicators of unit length."""
     w, alpha = np.zeros(len(scale)), np.zeros(len(rows))
     xs = [scale[u] for u in rows]
     xs = [x / max(1e-9, float(np.sqrt(x @ x))) for x in xs]
     rng = np.random.default_rng(7)
-    diag = 0.5 / cost
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
             u, x = rows[i], xs[i]
-            g = y[i] * float(w[u] @ x) - 1 + diag[i] * alpha[i]
-            step = max(0.0, alpha[i] - g / (1 + diag[i])) - alpha[i]
+            step = min(max(alpha[i] + 1 - y[i] * float(w[u] @ x), 0.0), cost[i]) - alpha[i]  # x.x is 1
             if step:
                 alpha[i] += step
                 w[u] += step * y[i] * x
@@ -94,13 +107,16 @@ def _margin(u: np.ndarray, v: np.ndarray, sq: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> dict:
     """The model: v (weight of each feature), sq (squared scale), a, b; or a constant p."""
-    one = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).alias("y")).hint("merge")  # one plan at every size
+    B.modest(docs.sparkSession)
+    one = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).alias("y"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(B.crc_mod("doc_id", 4) != 2).join(one, "doc_id")
 
     def made(it):
         for b in it:
-            texts = b.column(1).fill_null("")
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([u.tobytes() for u in features(texts)], pa.binary())], ["doc_id", "y", "f"])
+            done = 0
+            for ids, texts in B.text_slices(iter([b.select(["doc_id", "text"])]), B.BATCH_BYTES):
+                yield pa.record_batch([ids, b.column(2).slice(done, len(ids)), pa.array([u.tobytes() for u in features(texts)], pa.binary())], ["doc_id", "y", "f"])
+                done += len(ids)
 
     table = B.stored(rows.select("doc_id", "text", "y").mapInArrow(made, "doc_id long, y boolean, f binary"))
 
@@ -147,7 +163,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two numbers per hashed feature, whatever the data
 
     def run(it):
-        for ids, texts in B.text_slices(it, B.BLOCK_BYTES):
+        for ids, texts in B.text_slices(it, B.BATCH_BYTES):
             yield pa.record_batch([ids, pa.array(probabilities(texts, sent.value))], ["doc_id", "score"])
 
     rows = docs.select(*B.plain_columns()).mapInArrow(run, "doc_id long, score double")
@@ -160,7 +176,11 @@ def keep(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
 
     def run(it):
         for b in it:
-            p = probabilities(b.column(at).cast(pa.string()).fill_null(""), sent.value)
-            yield b.filter(pa.array(p >= threshold))
+            texts, done = b.column(at).cast(pa.string()).fill_null(""), 0
+            for ids, part in B.text_slices(iter([pa.record_batch([texts, texts], ["i", "t"])]), B.BATCH_BYTES):
+                accepted = pa.array(probabilities(part, sent.value) >= threshold)
+                yield b.slice(done, len(ids)).filter(accepted)
+                done += len(ids)
 
+    B.modest(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
