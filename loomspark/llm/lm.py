@@ -165,12 +165,14 @@ def fresh_model() -> dict:
 
 
 def _softmax(w, ids, bias):
-    s = bias + w[ids[0]]
+    s = w.take(ids[0], axis=0, mode="clip")
+    row = np.empty_like(s)
     for i in ids[1:]:
-        s += w[i]
-    s -= s.max(axis=1, keepdims=True)
-    np.exp(s, out=s)
-    return s / s.sum(axis=1, keepdims=True)
+        s += w.take(i, axis=0, mode="clip", out=row)
+    s += bias
+    np.exp(np.clip(s, -60, 60, out=s), out=s)  # sums of few small weights: no need to take off the largest
+    s /= (s @ np.ones(s.shape[1], s.dtype))[:, None]
+    return s
 
 
 def _step(w: np.ndarray, acc: np.ndarray, ids: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -178,11 +180,11 @@ def _step(w: np.ndarray, acc: np.ndarray, ids: np.ndarray, g: np.ndarray, rate:
     order = np.argsort(ids, kind="stable")
     i = ids[order]
     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-    upto = np.cumsum(np.ascontiguousarray(g[order].T), axis=1)[:, np.append(first[1:], len(i)) - 1]
-    sums = np.diff(upto, axis=1, prepend=np.float32(0)).T
+    sums = np.add.reduceat(g.take(order, axis=0, mode="clip"), first, axis=0)
     rows = i[first]
-    acc[rows] += (sums * sums).mean(axis=1)
-    w[rows] -= rate * sums / (np.sqrt(acc[rows]) + 1e-6)[:, None]
+    acc[rows] += np.einsum("ij,ij->i", sums, sums) / np.float32(sums.shape[1])
+    sums *= (np.float32(rate) / (np.sqrt(acc[rows]) + np.float32(1e-6)))[:, None]
+    w[rows] -= sums
 
 
 def learn(m: dict, h: np.ndarray, cell: np.ndarray, start: np.ndarray, rate: float = 0.15) -> None:
@@ -249,14 +251,19 @@ def train(docs: DataFrame, cells: Cells, rounds: tuple[int, ...] = (2, 6, 8)) ->
 # --- scores ------------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def fitted(docs: DataFrame) -> dict:
+    """The model: word counts (a table), their sums n and v, the words' cells and the cells' sizes, and the weights."""
     counts = count_words(docs)
     n, v = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     cells = Cells(common_words(counts, HEAD))
-    sizes = cell_totals(counts, cells)
-    sent = spark.sparkContext.broadcast({k: v for k, v in train(docs, cells).items() if k[0] != "a"})
+    return {"counts": counts, "n": n, "v": v, "cells": cells, "sizes": cell_totals(counts, cells), "weights": {k: x for k, x in train(docs, cells).items() if k[0] != "a"}}
+
+
+def score(docs: DataFrame, model: dict | None = None) -> DataFrame:
+    """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score. Without a model one is fitted to the training rows."""
+    model = model or fitted(docs)
+    counts, n, v, cells, sizes = (model[k] for k in ("counts", "n", "v", "cells", "sizes"))
+    sent = docs.sparkSession.sparkContext.broadcast(model["weights"])
 
     def keys(ids, texts, owners):
         _, _, words = tokens(texts)
