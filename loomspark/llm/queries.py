@@ -83,12 +83,12 @@ with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
 from d window w as (partition by norm)""",
     "op2_line_dedup": """
-with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
-l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select r, doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as i from d),
 k as (select *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
-f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
+f as (select key from k where length(key) >= 1 group by key having count(distinct r) >= 10)
 select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (f.key is null), '')) as kept_sha256
-from k left join f using (key) group by doc_id""",
+from k left join f using (key) group by r, doc_id""",
     "op10_topk_search": """
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(256 * x::double) as bigint)) as e from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),

@@ -111,23 +111,40 @@ def lines_want(rows, least=10):
     return sorted(out, key=repr)
 
 
-def test_lines(rows, docs, none):
-    got = line_dedup.drop_lines(docs)
+@pytest.mark.parametrize("batches", [1, 4])
+def test_lines(rows, docs, none, batches):
+    got = line_dedup.drop_lines(docs, batches=batches)
     assert pairs(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == lines_want(rows)
     assert got.where("n_dropped > 0").count() == 12
     assert line_dedup.drop_lines(none).count() == 0
 
 
+def test_lines_of_a_repeated_id(spark):
+    rows = [(7, f"same\nline {i}") for i in range(10)] + [(8, "same\nsame")] * 2
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pairs(got, "doc_id", "n_lines", "n_dropped", "kept_sha256") == lines_want(rows) and got.where("n_dropped > 0").count() == 12
+
+
 def test_line_runs(spark):
-    rnd, index, want, fresh = random.Random(2), line_dedup.LineRuns(spark, fanout=2), Counter(), 0
+    """Settled hashes leave later batches; the index holds each other hash's count; runs are sorted and compacted by levels."""
+    from loomspark.llm import _blocks as B
+
+    rnd, index, want = random.Random(2), line_dedup.LineRuns(1, min_docs=6), Counter()
     for _ in range(5):
-        batch = [(rnd.randrange(30), 0, 1) for _ in range(40)]
-        fresh += len({b[0] for b in batch} - set(want))
-        want.update(b[0] for b in batch)
-        index.add(spark.createDataFrame(batch, "hi long, lo long, docs long"))
+        batch = np.sort(np.array([rnd.randrange(30) for _ in range(40)], np.uint64))
+        want.update(int(h) for h in batch)
+        blob = B.pack(batch, batch // np.uint64(7), np.ones(40, np.int64), np.zeros(40, np.uint8))
+        index.add(spark.createDataFrame([(0, bytearray(blob))], "k long, blob binary"))
     assert [len(level) for level in index.levels] == [1, 0, 1]
-    assert {r.hi: r.docs for r in index.frequent(1).collect()} == want
-    assert index.all().where("fresh").count() == fresh == len(want)
+    runs = [B.unpack(bytes(r.blob)) for r in index.all().collect()]
+    assert all((np.diff(hi.astype(np.int64)) > 0).all() for hi, *_ in runs)
+    settled = {int(h) for hi, _, _, s in runs for h in hi[s > 0]}
+    assert settled == {h for h, c in want.items() if c >= 6}
+    rest = Counter()
+    for hi, _, n, _ in runs:
+        rest.update(dict(zip(map(int, hi), map(int, n))))
+    assert all(rest[h] == c for h, c in want.items() if c < 6)
+    assert sum(want[h] - rest[h] for h in settled) > 0  # what the anti-join kept out
 
 
 @pytest.mark.parametrize("crowd", [4096, 1])
