@@ -32,7 +32,7 @@ def op2_line_dedup(spark, sf_dir):
 def op10_topk_search(spark, sf_dir):
     from loomspark.llm import topk_search
 
-    return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return topk_search.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("read")
 
 
 def op1_quality(spark, sf_dir):

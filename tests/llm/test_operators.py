@@ -346,11 +346,35 @@ def test_search(spark, rows_, packs):
 
 
 def test_search_of_large_numbers():
-    x = np.array([[2**40, 1], [2**40, 0], [-(2**40), 5]], np.int64)
-    (r, s), = topk_search.nra(x, np.arange(3), np.array([[2**20, 1]], np.int64), np.array([9]), 2)
+    lists = topk_search.Lists(np.array([[2**40, 1], [2**40, 0], [-(2**40), 5]], np.int64), np.arange(3))
+    (r, s, _), = topk_search.nra(lists, np.array([[2**20, 1]]), np.array([9]), 2)
     assert r.tolist() == [0, 1] and s.tolist() == [2**60 + 1, 2**60]
 
 
+@pytest.mark.parametrize("decay,scale", [(1.0, 256), (0.8, 256), (0.9, 2**22)])
+def test_search_stops_early(decay, scale):
+    """Bounds keep the exact answer, ties included, and most queries stop before the lists end."""
+    rng = np.random.default_rng(4)
+    x = np.floor(scale * rng.normal(0, 1, (1500, 24)) * decay ** np.arange(24) / 5).astype(np.int64)
+    x[100:140] = x[7]
+    lists, early = topk_search.Lists(x, rng.permutation(1500)), []
+    ids = lists.ids
+    at = np.arange(0, 1500, 50)
+    for i, (rows, score, read) in zip(at, topk_search.nra(lists, x[at], ids[at], 5, few=16)):
+        dense = x @ x[i]
+        want = sorted((j for j in range(1500) if j != i), key=lambda j: (-dense[j], ids[j]))[:5]
+        assert rows.tolist() == want and score.tolist() == dense[want].tolist()
+        early.append(read < 0.95)
+    assert np.mean(early) > 0.9
+
+
+def test_search_ignores_other_columns(spark):
+    rows = [(i, [float(i % 7), 1.0], i, 0.5, i, 1) for i in range(0, 200, 10)] + [(50, [1.0, 1.0], 0, 0.0, 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double, query_id int, dim int")
+    got = pairs(topk_search.top_k(df), "query_id", "rank", "vec_id", "score")
+    assert {r[0] for r in got} == {0, 50, 100, 150} and all(r[0] != r[2] for r in got)
+
+
 def test_pipeline(spark, rows, docs, none, tmp_path):
     import corpus_pipeline as P
 
