@@ -3,8 +3,9 @@
 The tokenizer drops white space, so the ids of a text are the ids of its white-space words, in
 order, and no rule of it looks across [\\x20\\x09-\\x0D]. Each block of texts is split into words;
 its distinct words go to their owners by hash; an owner encodes each distinct word once, however
-many blocks hold it, and decodes its ids through the table of pieces by id. Ids and pieces return
-to the blocks, where they are joined to the words by position.
+many blocks hold it. The ids return to the blocks, where they are joined to the words by position,
+and there they are decoded by a join with the table of pieces by id: a gather, as the table, of the
+tokenizer's fixed size, is in every worker.
 
 Null and empty texts: no ids, and the hash of the empty string. Repeated rows and ids each give
 their row; other columns are ignored; an empty table gives no rows.

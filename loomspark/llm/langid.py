@@ -4,7 +4,8 @@ Bytes are embedded; filters of several widths slide over fixed-length windows of
 response of each filter feeds a softmax. All windows of a text are scored, and the text's language
 is the one with the highest mean probability, weighted by window length.
 
-The network is fitted on windows of a bounded sample of labelled texts (``per_lang`` documents of
+The network is fitted on windows (``per_doc`` spread evenly over each text, and one of its first 4 to 63 bytes, so that
+short texts are known too) of a bounded sample of labelled texts (``per_lang`` documents of
 each language in expectation, chosen by hash, at most twice as many), of every language that has labelled rows. Null
 texts and texts without a letter are ``und`` with score 1. Without any labelled text all others are
 ``und`` with score 0. Repeated rows are predicted each; other columns are ignored; an empty table
@@ -65,6 +66,25 @@ def forward(x: np.ndarray, m: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return s / s.sum(axis=1, keepdims=True), pooled, z
 
 
+def gradients(x: np.ndarray, y: np.ndarray, m: dict) -> dict:
+    """Gradients of the mean log loss of windows x with classes y. Padding has no embedding to learn."""
+    f = m["conv"].shape[1]
+    p, pooled, z = forward(x, m)
+    d = p.copy()
+    d[np.arange(len(x)), y] -= 1
+    d /= len(x)
+    dp = (d @ m["out"].T) * (pooled > 0)
+    where = z.argmax(axis=1)
+    cols = _columns(x, m["emb"])[np.arange(len(x))[:, None], where]  # (batch, filters, reach * dim)
+    g = {"out": pooled.T @ d, "out_bias": d.sum(axis=0), "bias": dp.sum(axis=0), "conv": np.einsum("bf,bfk->kf", dp, cols) * _mask()}
+    back = (dp[:, :, None] * m["conv"].T[None]).reshape(len(x), f, _REACH, DIM)
+    place = where[:, :, None] + np.arange(_REACH)
+    codes = np.where(place < WINDOW, x[np.arange(len(x))[:, None, None], np.minimum(place, WINDOW - 1)], 0)
+    g["emb"] = np.stack([np.bincount(codes.ravel(), back[..., c].ravel(), 257) for c in range(DIM)], axis=1).astype(np.float32)
+    g["emb"][0] = 0
+    return g
+
+
 def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int = 64) -> dict:
     rng, f, mask = np.random.default_rng(3), FILTERS * len(WIDTHS), _mask()
     m = {"emb": rng.normal(0, 0.5, (257, DIM)), "conv": rng.normal(0, 0.2, (_REACH * DIM, f)), "bias": np.zeros(f), "out": rng.normal(0, 0.2, (f, classes)), "out_bias": np.zeros(classes)}
@@ -76,19 +96,7 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int
         order = rng.permutation(len(x))
         for i in range(0, len(x), batch):
             j = order[i : i + batch]
-            p, pooled, z = forward(x[j], m)
-            d = p.copy()
-            d[np.arange(len(j)), y[j]] -= 1
-            d /= len(j)
-            dp = (d @ m["out"].T) * (pooled > 0)
-            where = z.argmax(axis=1)
-            cols = _columns(x[j], m["emb"])[np.arange(len(j))[:, None], where]  # (batch, filters, reach * dim)
-            g = {"out": pooled.T @ d, "out_bias": d.sum(axis=0), "bias": dp.sum(axis=0), "conv": np.einsum("bf,bfk->kf", dp, cols) * mask}
-            back = (dp[:, :, None] * m["conv"].T[None]).reshape(len(j), f, _REACH, DIM)
-            place = where[:, :, None] + np.arange(_REACH)
-            codes = np.where(place < WINDOW, x[j][np.arange(len(j))[:, None, None], np.minimum(place, WINDOW - 1)], 0)
-            g["emb"] = np.stack([np.bincount(codes.ravel(), back[..., c].ravel(), 257) for c in range(DIM)], axis=1).astype(np.float32)
-            g["emb"][0] = 0
+            g = gradients(x[j], y[j], m)
             t += 1
             for k, v in g.items():
                 first[k] = 0.9 * first[k] + 0.1 * v
@@ -98,6 +106,7 @@ def fit(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 6, batch: int
 
 
 def train(docs: DataFrame, per_lang: int = 600, per_doc: int = 3) -> dict | None:
+    B.modest(docs.sparkSession)
     rows = docs.where(B.crc_mod("doc_id", 4) != 2).where("lang is not null and text is not null")
     counts = rows.groupBy("lang").count().collect()  # one row a language
     if not counts:
