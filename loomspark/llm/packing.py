@@ -18,6 +18,7 @@ an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -61,15 +62,16 @@ def _patterns(lengths: np.ndarray, capacity: int, keep: int = 6, waste: float =
 
     q = np.unique(up[np.linspace(0, len(up) - 1, 24).astype(int)])
     few = q[:: max(1, len(q) // 8)]
+    b, c = (x.ravel() for x in np.meshgrid(few, few))
     out = []
-    for a in up[::-1]:
-        two = [[a, fit(capacity - a), 0, 0]]
-        three = np.array([[a, b, c, 0] for b, c in zip(q, fit(capacity - a - q))])
-        b, c = (x.ravel() for x in np.meshgrid(few, few))
-        four = np.stack([np.full(len(b), a), b, c, fit(capacity - a - b - c)], axis=1)
-        rows = np.concatenate([two, three, four])
-        rows = rows[(rows.sum(axis=1) <= capacity) & (rows.sum(axis=1) >= (1 - waste) * capacity)]
-        out.append(rows[np.argsort(-rows.sum(axis=1), kind="stable")[:keep]])
+    for part in np.array_split(up[::-1], -(-len(up) // 512)):  # some lengths at a time
+        a, zero = part[:, None], np.zeros(len(part), int)[:, None]
+        row = lambda *v: np.stack(np.broadcast_arrays(*v), axis=2)
+        rows = np.concatenate([row(a, fit(capacity - a), zero, zero), row(a, q[None], fit(capacity - a - q), zero), row(a, b[None], c[None], fit(capacity - a - b - c))], axis=1)
+        total = rows.sum(axis=2)
+        total = np.where((total <= capacity) & (total >= (1 - waste) * capacity), total, -1)
+        best = np.argsort(-total, axis=1, kind="stable")[:, :keep]
+        out.append(np.take_along_axis(rows, best[:, :, None], axis=1)[np.take_along_axis(total, best, axis=1) >= 0])
     rows = np.concatenate(out) if out else np.zeros((0, 4), int)
     return np.unique(-np.sort(-rows, axis=1), axis=0)
 
@@ -99,15 +101,17 @@ def by_patterns(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tu
         have, laid, rest = lengths[left > 0], len(out), {}
         rows = _patterns(have, capacity)
         x = _repeats(rows, have, left[left > 0])
-        for i in np.argsort(-rows.sum(axis=1), kind="stable"):
-            ls, uses = np.unique(rows[i][rows[i] > 0], return_counts=True)
-            at, top = np.searchsorted(lengths, ls), int(rows[i][0])
-            want = x[i] + rest.get(top, 0.0)
-            n = int(min(np.floor(want + 1e-9), (left[at] // uses).min()))
-            rest[top] = want - n
+        at = np.searchsorted(lengths, rows).tolist()
+        for i in np.argsort(-rows.sum(axis=1), kind="stable").tolist():
+            seq = [v for v in rows[i].tolist() if v]
+            uses = Counter(at[i][: len(seq)])
+            want = float(x[i]) + rest.get(seq[0], 0.0)
+            n = min(int(want + 1e-9), *(int(left[k]) // u for k, u in uses.items()))
+            rest[seq[0]] = want - n
             if n > 0:
-                left[at] -= n * uses
-                out.append((tuple(int(v) for v in rows[i] if v), n))
+                for k, u in uses.items():
+                    left[k] -= n * u
+                out.append((tuple(seq), n))
         if len(out) == laid:
             break
     return out
