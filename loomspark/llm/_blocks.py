@@ -238,6 +238,7 @@ def table(schema: str, *columns) -> pa.Table:
 
 
 _made: dict[str, SparkSession] = {}
+_tables: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -262,8 +263,23 @@ def stored(df: DataFrame, *partition: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """stored(), dealt by ``key`` into buckets that joins on it read in place: only the other side is shuffled."""
+    spark = df.sparkSession
+    path, name = shared_dir(spark), f"bucketed_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    out = spark.table(name)
+    out.stored_at = path
+    _made[path] = spark
+    _tables[path] = name
+    return out
+
+
 def _delete(path: str) -> None:
     spark = _made.pop(path, None)
+    if spark is not None and path in _tables and spark.sparkContext._jsc is not None:
+        spark.sql(f"drop table if exists {_tables.pop(path)}")
     if spark is not None and spark.sparkContext._jsc is not None:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

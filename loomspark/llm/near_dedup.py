@@ -261,7 +261,7 @@ def _crossed(threshold: float, n: int):
     return run
 
 
-def crossing(tested: DataFrame, labels: DataFrame, features: DataFrame, threshold: float, n: int, small: int) -> DataFrame:
+def crossing(tested: DataFrame, labels: DataFrame, features, threshold: float, n: int, small: int) -> DataFrame:
     """Links (a, b) that leaders hid: between members that a leader matched and members of other components it was tested with.
 
     tested: (lead, rep, w, weighted, plain), the similarities of each leader and member, and the member's weight in a task.
@@ -279,7 +279,7 @@ def crossing(tested: DataFrame, labels: DataFrame, features: DataFrame, threshol
     parts = t.groupBy("lead").agg(F.ceil(F.sum(F.when(F.col("inside"), F.col("w"))) / small).cast("int").alias("n_in"), F.ceil(F.sum(F.when(~F.col("inside"), F.col("w"))) / small).cast("int").alias("n_out")).where("n_in > 0 and n_out > 0")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("n_out")).otherwise(F.col("n_in")) - 1))
-    t = t.join(features.hint("merge"), "rep").join(parts.hint("merge"), "lead").select("lead", "rep", "weighted", "plain", "label", "inside", "features", own.alias("own"), other.alias("other"))
+    t = features(t).join(parts.hint("merge"), "lead").select("lead", "rep", "weighted", "plain", "label", "inside", "features", own.alias("own"), other.alias("other"))
     t = t.withColumn("i", F.when(F.col("inside"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("inside"), F.col("other")).otherwise(F.col("own")))
     return B.stored(t.drop("own", "other").groupBy("lead", "i", "j").applyInArrow(_crossed(threshold, n), "a long, b long"))
 
@@ -300,7 +300,7 @@ def _compared(n: int):
     return run
 
 
-def _bucket_links(rows: DataFrame, features: DataFrame, threshold: float, n: int, small: int) -> tuple[list[DataFrame], list[DataFrame]]:
+def _bucket_links(rows: DataFrame, features, threshold: float, n: int, small: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """(links, tests) of the buckets of rows (key, rep, w, part); those within one part have nothing to add.
 
     A bucket of weight ``small`` or less is one task. In a larger one, the least members lead: one in the
@@ -313,7 +313,7 @@ def _bucket_links(rows: DataFrame, features: DataFrame, threshold: float, n: int
         buckets = B.stored(each.groupBy("n", "lead", "x").agg(F.min("key").alias("key")).select("key", "n", "lead"))
         met = open_.join(buckets.hint("merge"), "key")
         few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small)
-        got = B.stored(few.select("key", "rep").join(features.hint("merge"), "rep"))
+        got = B.stored(features(few.select("key", "rep")).select("key", "rep", "features"))
         links.append(B.stored(got.groupBy("key").applyInArrow(_linked(threshold, n), "a long, b long")))
         B.forget(got)
         if not buckets.where(F.col("n") > small).limit(1).count():
@@ -327,9 +327,10 @@ def _bucket_links(rows: DataFrame, features: DataFrame, threshold: float, n: int
             heads = many.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= leaders).select("key", F.col("rep").alias("lead"))
         heads = B.stored(heads)
         pairs = many.drop("lead").join(heads, "key").where("lead < rep")
-        need = B.stored(pairs.select("lead", "rep", "w").distinct())
-        a, b = features.select(F.col("rep").alias("lead"), F.col("features").alias("fa")), features.select("rep", F.col("features").alias("fb"))
-        tested = B.stored(need.join(b.hint("merge"), "rep").join(a.hint("merge"), "lead").select("lead", "rep", "w", "fa", "fb").mapInArrow(_compared(n), "lead long, rep long, w long, weighted double, plain double"))
+        need = pairs.select("lead", "rep", "w").distinct()
+        a = features(heads.select(F.col("lead").alias("rep")).distinct()).select(F.col("rep").alias("lead"), F.col("features").alias("fa"))
+        b = features(need).withColumnRenamed("features", "fb")
+        tested = B.stored(b.join(a, "lead").select("lead", "rep", "w", "fa", "fb").mapInArrow(_compared(n), "lead long, rep long, w long, weighted double, plain double"))
         tests.append(tested)
         like = F.greatest("weighted", "plain") >= threshold
         links.append(tested.where(like).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
@@ -337,7 +338,7 @@ def _bucket_links(rows: DataFrame, features: DataFrame, threshold: float, n: int
         matched = pairs.join(tested.where(like).select("lead", "rep"), ["lead", "rep"], "left_semi").select("key", "rep")
         gone = matched.unionByName(heads.select("key", F.col("lead").alias("rep"))).distinct()
         rest = B.stored(many.drop("lead").join(gone, ["key", "rep"], "left_anti"))
-        B.forget(buckets, many, heads, need, open_)
+        B.forget(buckets, many, heads, open_)
         open_, leaders = rest, min(2 * leaders, 64)
 
 
@@ -345,8 +346,14 @@ def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, s
     """The classes of n documents from their rows of sampled()."""
     least = table.where("candidate").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands", True).alias("bands"), F.first("features", True).alias("features"))
     # a long text counts as several members, so a task's features have a bound in bytes
-    reps = B.stored(least.withColumn("w", 1 + F.floor(F.length("features") / F.lit(1 << 16))))
-    features, links, tests, labels, made = reps.select("rep", "features"), [], [], None, []
+    reps = B.bucketed(least.withColumn("w", 1 + F.floor(F.length("features") / F.lit(1 << 16))), "same")
+    ids = B.stored(reps.select("rep", "same"))
+    links, tests, labels, made = [], [], None, [ids]
+
+    def features(rows: DataFrame) -> DataFrame:
+        """rows with their reps' features, which stay where they are: they are the bulk, and rounds need few of them."""
+        return rows.join(ids, "rep").join(reps.select("same", "features").hint("merge"), "same").drop("same")
+
     first = F.col("band") % bands < max(1, bands // 5)
     # A few bands join most near copies; of the others, buckets within one component have nothing to add.
     for mine in (first, ~first):
