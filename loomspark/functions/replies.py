@@ -12,7 +12,9 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+#: The fence around a reply, and the repairs of a cut one, in their order.
 _FENCE = re.compile(r"\A```[a-zA-Z]*\n?|\n?```\Z")
+_REPAIRS = ((r",\s*,", ","), (r",\s*,", ","), (r",\s*([}\]])", r"\1"))
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.S)
 
 
@@ -44,7 +46,7 @@ def repaired(reply: str | None) -> str | None:
     if "{" not in reply:
         return None
     s = reply[reply.index("{") :]
-    for old, new in ((r",\s*,", ","), (r",\s*,", ","), (r",\s*([}\]])", r"\1")):
+    for old, new in _REPAIRS:
         s = re.sub(old, new, s)
     for left, right in ("[]", "{}"):
         s += right * (s.count(left) - s.count(right))
@@ -69,3 +71,10 @@ def parse_json(c):
         return x.map(repaired)
 
     return run(c)
+
+
+def facets(reply):
+    """A map of lists from a reply: a scalar facet is a list of one, and what holds no text (numbers, objects, null) is left out. Null where the reply is no object."""
+    each = F.from_json(reply, "map<string,string>")
+    quoted = F.transform_values(each, lambda k, v: F.when(F.trim(v).startswith("["), F.filter(F.from_json(v, "array<string>"), lambda x: x.isNotNull())).when(v.rlike(r"^\s*(\{|-?[0-9.]+([eE][-+]?[0-9]+)?\s*$|true$|false$)"), F.lit(None)).otherwise(F.array(v)))
+    return F.map_filter(quoted, lambda k, v: v.isNotNull())

@@ -30,6 +30,13 @@ def crosstab(p: DataFrame) -> DataFrame:
     return p.groupBy(segment_bucket(F.col("n_segments")).alias("bucket")).agg(F.count_if("passed").alias("n_pass"), F.count_if(~F.col("passed")).alias("n_fail"), F.count("*").alias("n_all"))
 
 
+def pass_counts(p: DataFrame) -> DataFrame:
+    """One row: scenes that pass and fail the keywords, and their percentages as text."""
+    s = p.agg(F.count_if("passed").alias("n_pass"), F.count_if(~F.col("passed")).alias("n_fail"))
+    n = F.col("n_pass") + F.col("n_fail")
+    return s.select("n_pass", "n_fail", X.percent("n_pass", n).alias("pass_share"), X.percent("n_fail", n).alias("fail_share"))
+
+
 def ranked_values(df: DataFrame, value: str, picks: dict[str, Column], by: list[str] = (), more: tuple[Column, ...] = ()) -> DataFrame:
     """Per group, values at given places (from 0; a Column of ``n``) of the sorted values; ``more``: aggregates of each value ``_v`` and its count ``_c``.
 
@@ -98,8 +105,9 @@ def corpus_medians(df: DataFrame, cfg: Curation = Curation(), text: str = "text"
 
 
 def analysis_summary(scored: DataFrame, cfg: Curation = Curation()) -> DataFrame:
-    """One row of an analysis: counts and averages of tokens, score and keyword hits."""
-    return scored.agg(F.count("*").alias("n"), F.avg("token_est").alias("token_mean"), F.max("token_est").alias("token_max"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.avg("keyword_hits").alias("keyword_mean"), F.max("keyword_hits").alias("keyword_max"), F.count_if(F.col("token_est") > cfg.max_tokens).alias("over_max"))
+    """One row of an analysis: counts, averages and medians of tokens and score, and keyword hits."""
+    sums = scored.agg(F.count("*").alias("n"), F.avg("token_est").alias("token_mean"), F.max("token_est").alias("token_max"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"), F.avg("keyword_hits").alias("keyword_mean"), F.max("keyword_hits").alias("keyword_max"), F.count_if(F.col("token_est") > cfg.max_tokens).alias("over_max"))
+    return sums.crossJoin(F.broadcast(analysis_medians(scored)))  # one row each
 
 
 def corpus_stats(df: DataFrame, keywords: list[str], cfg: Curation = Curation(), text: str = "text") -> DataFrame:
@@ -110,6 +118,7 @@ def corpus_stats(df: DataFrame, keywords: list[str], cfg: Curation = Curation(),
     s = groups.agg(F.sum("n").alias("n"), F.sum("val").alias("n_val"), F.floor(F.sum("tok") / F.sum("n")).alias("token_mean"), F.min("lo").alias("token_min"), F.max("hi").alias("token_max"), F.sum("over").alias("n_over"), (F.sum("n") - F.count("*")).alias("n_duplicate"), F.sum("zero").alias("n_zero_keyword"), (F.sum("hits") / F.sum("n")).alias("mean_hits"))
     n = F.col("n")
     flags = [(n < 50, "few"), (F.col("n_over") / n > 0.05, "over_max"), (F.col("n_duplicate") / n > 0.02, "duplicates"), (F.col("n_zero_keyword") / n > 0.20, "zero_keyword"), (F.col("n_val") == 0, "no_val")]
+    s = s.crossJoin(F.broadcast(medians(q, "tok", "token_median", whole=True)))  # one row each
     return s.where("n > 0").withColumn("flags", F.concat_ws(",", *(F.when(c, F.lit(v)) for c, v in flags)))
 
 

@@ -76,7 +76,7 @@ def whitelisted(labels: Column, allowed: list[str]) -> Column:
     """Labels of the vocabulary, compared stripped and in lower case, the first of equal ones as it was written."""
     ok = [a.strip().lower() for a in allowed]
     low = lambda x: F.lower(X.strip(x))
-    kept = F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull() & (low(x) != "") & low(x).isin(ok))
+    kept = F.array_distinct(F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull() & (low(x) != "") & low(x).isin(ok)))
     lows = F.transform(kept, low)
     return F.filter(kept, lambda x, i: F.array_position(lows, low(x)) == i + 1)
 
@@ -119,6 +119,26 @@ def label_use(records: DataFrame, facets: str = "facets") -> DataFrame:
     return labels_of(records, facets).groupBy(F.concat_ws(":", "facet", F.lower("label")).alias("name")).agg(F.count("*").alias("n"))
 
 
+def top_overall(counts: DataFrame, k: int = 20) -> DataFrame:
+    """The k most used names of label_use() or overflow_use(), with ``rank``; ties by name."""
+    name = counts.columns[0]
+    best = counts.orderBy(F.desc("n"), name).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), name)))  # k rows
+
+
+def manifest_label_use(manifest: DataFrame, tags: DataFrame) -> DataFrame:
+    """label_use() over the rows of a manifest whose tags make a prompt of their own, each row as often as it stands there."""
+    t = tags.select(F.col("scene_id").cast("string").alias("_id"), "facets")
+    rows = manifest.where(F.col("split").isin("train", "val")).select(F.col("scene_id").cast("string").alias("scene_id"))
+    own = rows.join(t, F.col("scene_id") == F.col("_id")).where(prompt(F.col("facets")) != "Write a scene.")
+    return label_use(own)
+
+
+def as_lists(record: Column) -> Column:
+    """A discovery record's JSON as a map of lists: scalars are lists of one."""
+    return replies.facets(record)
+
+
 def overflow_use(records: DataFrame) -> DataFrame:
     """(label, n): overflow labels in lower case, every use."""
     return records.select(F.explode("overflow").alias("label")).groupBy(F.lower("label").alias("label")).agg(F.count("*").alias("n"))

@@ -139,7 +139,7 @@ select scene_id, cast(i - 1 as integer) as seam, cast(o as integer) as seam_offs
     "token_estimate": f"select doc_id, {_tokens('t')} as tokens from (select doc_id, {_clean('text')} as t from documents)",
     "text_metrics": f"{_BASE} select doc_id, {', '.join(_METRICS.split())} from m",
     "scene_score": f"{_BASE} select doc_id, score, {', '.join(f'{_round(v, 4)} as c_{k}' for k, v in _PARTS.items())} from g",
-    "analysis_summary": f"{_BASE} select count(*) as n, avg(token_est) as token_mean, max(token_est) as token_max, avg(score) as score_mean, max(score) as score_max, avg(keyword_hits) as keyword_mean, max(keyword_hits) as keyword_max, count(*) filter (token_est > {_C.max_tokens}) as over_max from g",
+    "analysis_summary": f"{_BASE} select count(*) as n, avg(token_est) as token_mean, max(token_est) as token_max, avg(score) as score_mean, max(score) as score_max, floor(median(token_est))::bigint as token_median, median(score) as score_median, avg(keyword_hits) as keyword_mean, max(keyword_hits) as keyword_max, count(*) filter (token_est > {_C.max_tokens}) as over_max from g",
     "length_score": f"select doc_id, {_length_score('tok')} as length_score from (select doc_id, {_tokens('t')} as tok from (select doc_id, {_clean('text')} as t from documents))",
     "keyword_hits": f"select doc_id, {_hits(_words('text'))} as hits from documents",
     "keyword_filter": f"select doc_id from documents where {_hits(_words('text'))} >= {_C.min_keyword_hits}",
@@ -156,7 +156,7 @@ select bucket, scenes, tokens, (v[(scenes - 1) // 2 + 1] + v[scenes // 2 + 1]) /
 with s as ({_split('doc_id', '(select doc_id, text from documents where text is not null)')}),
 q as (select split, {_tokens('text')} as tok, {_hits(_words('text'))} as hits, md5(text) as h from s),
 r as (select count(*) as n, count(*) filter (split = 'val') as n_val, floor(sum(tok) / count(*)::double)::bigint as token_mean, min(tok) as token_min, max(tok) as token_max,
-  count(*) filter (tok > {_C.max_tokens}) as n_over, count(*) - count(distinct h) as n_duplicate, count(*) filter (hits = 0) as n_zero_keyword, sum(hits) / count(*)::double as mean_hits from q)
+  count(*) filter (tok > {_C.max_tokens}) as n_over, count(*) - count(distinct h) as n_duplicate, count(*) filter (hits = 0) as n_zero_keyword, sum(hits) / count(*)::double as mean_hits, floor(median(tok))::bigint as token_median from q)
 select *, concat_ws(',', case when n < 50 then 'few' end, case when n_over / n::double > 0.05 then 'over_max' end, case when n_duplicate / n::double > 0.02 then 'duplicates' end,
   case when n_zero_keyword / n::double > 0.20 then 'zero_keyword' end, case when n_val = 0 then 'no_val' end) as flags from r""",
     "corpus_ttr": f"with w as (select unnest({_words('text')}) as w from documents) select count(distinct w) as distinct_words, count(*) as total_words, count(distinct w)::double / count(*) as ttr from w",
@@ -169,7 +169,10 @@ select n as examples, total as tokens_total, v[1] as tokens_min, v[n] as tokens_
     "label_topk": f"{_TAGS} select facet, label, n, cast(r as integer) as rank from (select *, row_number() over (partition by facet order by n desc, label) as r from ({_COUNTS})) where r <= 1",
     "label_use": f"{_TAGS} select facet || ':' || lower(label) as name, count(*) as n from l group by 1",
     "facet_coverage": f"{_TAGS} select facet, count(*) filter (len(labels) > 0) as scenes, count(*) filter (len(labels) > 0)::double / count(*) as share from t group by facet",
-    "closed_tag_whitelist": "select doc_id, ' THE |And' as labels from documents",
+    "closed_tag_whitelist": f"""
+with w as (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from documents where text is not null),
+k as (select doc_id, lower({_strip('w')}) as l, arg_min(w, i) as w, min(i) as i from w where lower({_strip('w')}) in ('the', 'and') group by 1, 2)
+select doc_id, coalesce(string_agg(w, '|' order by k.i), '') as labels from documents left join k using (doc_id) where text is not null group by doc_id""",
     "resume_todo": "select doc_id as scene_id from documents where doc_id not in (select doc_id from labels where doc_id is not null)",
     "tagged_corpus": f"""{_TAGS}, s as ({_split('doc_id', '(select doc_id, text from documents where text is not null)')}),
 p as (select doc_id, string_agg(upper(facet[1]) || facet[2:] || ': ' || array_to_string(labels, ', '), chr(10) order by list_position([{', '.join(repr(f) for f in FACETS)}], facet)) as body
@@ -192,5 +195,61 @@ i as (select arg_min(doc_id, doc_id)::varchar as scene_id, arg_min(estimated_tok
 }
 
 
+_I = """with d as (select doc_id, case when doc_id % 10 <> 0 then 'Write no. ' || doc_id end as i, """ + f"{_strip('case when doc_id % 15 = 0 then chr(32) || chr(120) || chr(32) else text end')} as o from documents where text is not null),\n"
+_CUT = _I + f"""h as (select doc_id, '### Запрос:' || chr(10) || i || chr(10) || chr(10) || '### Ответ:' || chr(10) || o as t from d where i is not null and o <> ''),
+n as (select doc_id, len(list_filter(string_split_regex(t, '{_S}+'), lambda x: x <> '')) + 1 as n from h)
+"""
+_PILOT = "doc_id % 5 <> 0 and doc_id % 7 <> 0"
+_KEYS = "['genre', 'tone', 'setting', 'pov', 'pacing', 'content_elements', 'places', 'invented_terms', 'coherence_score', 'coherence_notes', 'broken_junctions']"
+
+SQL |= {
+    "fetch_segments": "select conv_id, turn from conversations where conv_id in (select doc_id from labels)",
+    "marked_scenes": f"""
+with s as (select conv_id::varchar as scene_id, {_clean('text')} as t, row_number() over (partition by conv_id order by turn) as i from conversations where {_strip('text')} <> '')
+select scene_id, string_agg(case when i = 1 then t else chr(10) || chr(10) || '⟦J' || (i - 1) || '⟦' || chr(10) || chr(10) || t end, '' order by i) as marked from s group by scene_id""",
+    "latest_tags": "select conv_id::varchar as scene_id, arg_max(role, turn) as tone, arg_max(text, turn) as overflow from conversations where length(text) % 3 <> 0 group by conv_id",
+    "slugs": "select doc_id, lower(regexp_replace(regexp_replace(concat_ws(' / ', '- Run', source, lang || '!'), '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g')) as slug from documents",
+    "version_order": "select doc_id, concat_ws(',', doc_id % 7, ((doc_id % 13)::varchar || (doc_id % 3)::varchar)::integer, 0) as parts from documents",
+    "durations": "select doc_id, case when s >= 3600 then printf('%dh%02dm', s // 3600, s % 3600 // 60) when s >= 60 then printf('%dm%02ds', s // 60, s % 60) else printf('%ds', s) end as duration from (select doc_id, doc_id * 37 as s from documents)",
+    "bucket_shares": f"{_PROFILE} select bucket, printf('%.1f%%', 100.0::double * count(*) filter (passed) / count(*)) as share from q group by bucket",
+    "pass_counts": f"{_PROFILE} select count(*) filter (passed) as n_pass, count(*) filter (not passed) as n_fail, printf('%.1f%%', 100.0::double * count(*) filter (passed) / count(*)) as pass_share, printf('%.1f%%', 100.0::double * count(*) filter (not passed) / count(*)) as fail_share from q",
+    "boundary_hits": f"select doc_id, {_hits(_words('text'))} as hits from documents",
+    "keyword_analysis": f"""
+with d as (select doc_id, {_words('text')} as w from documents where text is not null),
+h as (select doc_id, len(w) as n, list_sort(list_filter([{', '.join(repr(k) for k in KEYWORDS)}], lambda k: list_contains(w, k))) as m from d)
+select doc_id, len(m) as hits, {_round(_ratio('len(m)', 'n'), 5)} as density, {_round(f'len(m)::double / {len(KEYWORDS)}.0::double', 4)} as ratio, array_to_string(m, '|') as matched from h""",
+    "given_scores": f"""{_BASE}, y as (select doc_id, max(quality)::double as y from labels group by doc_id), e as (select g.*, coalesce(y, score) as base from g left join y using (doc_id))
+select doc_id::varchar as scene_id, base as original_score, {_round('0.7::double * base + 0.3::double * le', 5)} as score from e where char_count > 0 and token_est between {_C.min_tokens} and {_C.max_tokens}""",
+    "projected_cost": f"""{_PROFILE}, c as (select bucket, count(*) as scenes from q where passed group by bucket)
+select bucket, scenes, sum(scenes) over (order by bucket)::bigint as cum_scenes, sum(scenes * bucket / 4.0::double) over (order by bucket) as cum_seconds from c""",
+    "top_scores": f"{_BASE} select doc_id, score from g order by score desc, doc_id limit 50",
+    "manifest_scenes": "select doc_id as scene_id from documents where doc_id in (select doc_id from labels)",
+    "missing_keys": f"select doc_id, array_to_string(list_sort(list_filter({_KEYS}, lambda k: not (k = 'genre' or (k = 'tone' and doc_id % 2 = 0) or (k = 'places' and doc_id % 3 = 0)))), '|') as missing from documents",
+    "seeded_sample": "select doc_id from documents order by md5('42' || doc_id::varchar) limit 25",
+    "sample_rejects": f"""
+with d as (select {_hits(_words('text'))} >= 1 as ok, md5('42' || doc_id::varchar) as h from documents where text is not null),
+r as (select *, sum(ok::int) over (order by h) as n from d)
+select count(*) filter (ok) as passed, count(*) filter (not ok) as rejected from r where n < 20 or (n = 20 and ok)""",
+    "control_pairs": f"""
+with s as (select text, row_number() over (order by md5('43' || doc_id::varchar)) - 1 as i from documents where text is not null qualify i < 20),
+p as (select a.i // 2 as pair, a.text as a, b.text as b from s a join s b on b.i = a.i + 1 where a.i % 2 = 0)
+select pair, md5(case when {_tokens("a || chr(10) || chr(10) || '⟦J1⟦' || chr(10) || chr(10) || b", 1)} > 3600 then a[1:7200] || chr(10) || chr(10) || '⟦J1⟦' || chr(10) || chr(10) || b[1:7200]
+  else a || chr(10) || chr(10) || '⟦J1⟦' || chr(10) || chr(10) || b end) as text_md5 from p""",
+    "pilot_summary": f"""
+with r as (select doc_id, case when doc_id % 9 <> 0 then doc_id % 8 end as c from documents)
+select count(*) filter ({_PILOT}) as parsed, {', '.join(f'count(*) filter ({_PILOT} and c = {k}) as score_{k}' for k in (5, 4, 3, 2, 1))}, count(*) filter ({_PILOT} and (c is null or c not between 1 and 5)) as score_other,
+  count(*) filter ({_PILOT} and c between 1 and 2) as low, count(*) filter ({_PILOT} and doc_id % 3 >= 1) as with_seams, count(*) filter ({_PILOT} and doc_id % 3 >= 1 and doc_id % 11 = 0) as broken,
+  sum(case when {_PILOT} then (doc_id % 2 = 0)::int + (doc_id % 3 = 0)::int else 0 end)::bigint as entities, sum(case when {_PILOT} then (doc_id % 4 = 0)::int else 0 end)::bigint as unfound,
+  count(*) filter (doc_id % 7 = 0) as controls, count(*) filter (doc_id % 7 = 0 and (doc_id % 11 = 0 or coalesce(c <= 3, false))) as caught, count(*) filter ({_PILOT} and doc_id % 13 = 0) as with_missing_keys from r""",
+    "overflow_use": "select lower(label) as label, count(*) as n from (select unnest([lang, upper(source)]) as label from documents) group by 1",
+    "overflow_top": "select label, n, cast(row_number() over (order by n desc, label) as integer) as rank from (select lower(label) as label, count(*) as n from (select unnest([lang, upper(source)]) as label from documents) group by 1) order by n desc, label limit 15",
+    "label_top": f"{_TAGS} select name, n, cast(row_number() over (order by n desc, name) as integer) as rank from (select facet || ':' || lower(label) as name, count(*) as n from l group by 1) order by n desc, name limit 20",
+    "manifest_label_use": f"{_TAGS} select facet || ':' || lower(label) as name, count(*) as n from l where scene_id::bigint % 3 <> 0 group by 1",
+    "scalar_facets": "select doc_id, coalesce(lang, '') as lang, concat_ws('|', source, lang) as setting, true as no_score from documents",
+    "validation_counts": _I + "j as (select case when i is null or o = '' then 'invalid' when length(o) >= 5 then 'ok' else 'short' end as s from d)\nselect count(*) as total, count(*) filter (s = 'ok') as kept, count(*) filter (s = 'invalid') as invalid, count(*) filter (s = 'short') as short from j",
+    "truncated_rows": _CUT + "select doc_id, cast(least(n, 256) as integer) as length, n > 256 as truncated, cast(least(n, 256) as integer) as n_labels from n",
+    "padded_batches": _CUT + "select doc_id, cast(ceil(max(least(n, 256)) over (partition by doc_id % 50) / 8.0::double) * 8 as integer) as width, cast(ceil(max(least(n, 256)) over (partition by doc_id % 50) / 8.0::double) * 8 as integer) as n_labels, cast(least(n, 256) as integer) as used from n",
+}
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -191,8 +191,8 @@ def facet_coverage(spark, sf_dir):
 
 
 def closed_tag_whitelist(spark, sf_dir):
-    raw = F.array(F.lit(" THE "), F.lit("the"), F.lit("unknown"), F.lit("And"), F.when(F.col("doc_id") % 2 == 0, F.lit("and ")))
-    return _docs(spark, sf_dir).select("doc_id", F.concat_ws("|", tagging.whitelisted(raw, VOCAB["tone"])).alias("labels"))
+    """The words of each text as a tagger's labels: those of the vocabulary stay, the first of equal ones as written."""
+    return _heavy(spark, sf_dir).select("doc_id", F.concat_ws("|", tagging.whitelisted(F.split("text", " "), VOCAB["tone"])).alias("labels"))
 
 
 def resume_todo(spark, sf_dir):
@@ -219,6 +219,7 @@ def chat_examples(spark, sf_dir):
 
 
 def mask_labels(spark, sf_dir):
+    """The tables have no instructions: the first 40 characters of a text stand in for one, the whole text is the answer."""
     d = _heavy(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("instruction"), F.col("text").alias("output"))
     rows = trainset.tokenized(trainset.extracted(d), trainset.word_encoder, 2)
     return trainset.fitted(rows, 2048, "drop").select("doc_id", "length", F.size(F.filter("labels", lambda x: x == trainset.IGNORED)).alias("masked"))
@@ -236,8 +237,151 @@ def curate_corpus(spark, sf_dir):
     return curate.curate(scenes.rows(_heavy(spark, sf_dir), "doc_id"), KEYWORDS, CFG, min_hits=1)
 
 
+def fetch_segments(spark, sf_dir):
+    ids = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("scene_id"))
+    return scenes.fetched(_turns(spark, sf_dir), ids, "conv_id").select("conv_id", "turn")
+
+
+def marked_scenes(spark, sf_dir):
+    return scenes.with_seams(_turns(spark, sf_dir), "conv_id", "turn").select("scene_id", "marked")
+
+
+def latest_tags(spark, sf_dir):
+    """Turns as tag records of their conversation; those of a length that three divides did not parse."""
+    r = _turns(spark, sf_dir).select(F.col("conv_id").alias("scene_id"), "turn", (F.length("text") % 3 != 0).alias("parse_ok"), F.create_map(F.lit("tone"), F.array("role")).alias("facets"), F.array("text").alias("overflow"))
+    return tagging.last_tags(r, "turn").select("scene_id", F.col("facets")["tone"][0].alias("tone"), F.col("overflow")[0].alias("overflow"))
+
+
+def _all(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slugs(spark, sf_dir):
+    return _all(spark, sf_dir).select("doc_id", X.slug(F.concat_ws(" / ", F.lit("- Run"), "source", F.concat("lang", F.lit("!")))).alias("slug"))
+
+
+def version_order(spark, sf_dir):
+    v = F.concat_ws(".", F.col("doc_id") % 7, F.concat(F.col("doc_id") % 13, F.lit("rc"), F.col("doc_id") % 3), F.lit("x"), F.lit("9"))
+    return _docs(spark, sf_dir).select("doc_id", F.concat_ws(",", F.transform(X.version_parts(v), lambda p: p.cast("string"))).alias("parts"))
+
+
+def durations(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", X.duration(F.col("doc_id") * 37).alias("duration"))
+
+
+def bucket_shares(spark, sf_dir):
+    return profile.crosstab(_profiles(spark, sf_dir)).select("bucket", X.percent("n_pass", "n_all").alias("share"))
+
+
+def pass_counts(spark, sf_dir):
+    return profile.pass_counts(_profiles(spark, sf_dir))
+
+
+def boundary_hits(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", K.hits("text", K.boundary_pattern(KEYWORDS)).alias("hits"))
+
+
+def keyword_analysis(spark, sf_dir):
+    d = _heavy(spark, sf_dir).select("doc_id", X.once(K.analysis("text", KEYWORDS, F.size(X.words("text")))).alias("a"))
+    return d.select("doc_id", "a.hits", "a.density", "a.ratio", F.concat_ws("|", "a.matched").alias("matched"))
+
+
+def given_scores(spark, sf_dir):
+    """Examples whose score an analysis gives (here the labels); the others are scored."""
+    given = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").cast("string").alias("scene_id")).agg(F.max("quality").cast("double").alias("score"))
+    return curate.examples(scenes.rows(_heavy(spark, sf_dir), "doc_id"), KEYWORDS, WHOLE, scores=given, min_hits=0).select("scene_id", "original_score", "score")
+
+
+def projected_cost(spark, sf_dir):
+    seconds = spark.createDataFrame([(i, i / 4) for i in range(1, 7)], "bucket int, seconds double")
+    return profile.projected_cost(_profiles(spark, sf_dir), seconds)
+
+
+def top_scores(spark, sf_dir):
+    """The 50 best documents: the cap of a corpus without diversity."""
+    return select.top(_scored(spark, sf_dir).select("doc_id", "score"), 50, "doc_id")
+
+
+def manifest_scenes(spark, sf_dir):
+    manifest = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("scene_id"))
+    return tagging.from_manifest(_docs(spark, sf_dir).select(F.col("doc_id").alias("scene_id")), manifest)
+
+
+def missing_keys(spark, sf_dir):
+    keys = F.array_compact(F.array(F.lit("genre"), F.when(F.col("doc_id") % 2 == 0, F.lit("tone")), F.when(F.col("doc_id") % 3 == 0, F.lit("places")), F.lit("other")))
+    return _docs(spark, sf_dir).select("doc_id", F.concat_ws("|", tagging.missing_keys(keys)).alias("missing"))
+
+
+def seeded_sample(spark, sf_dir):
+    return select.sample(_docs(spark, sf_dir).select("doc_id"), ["doc_id"], 25)
+
+
+def sample_rejects(spark, sf_dir):
+    """Of a seeded shuffle read until 20 texts with a keyword are found: how many passed and how many did not."""
+    return select.rejected_before(_heavy(spark, sf_dir), ["doc_id"], X.once(K.hits("text", K.pattern(KEYWORDS)) >= 1), 20)
+
+
+def control_pairs(spark, sf_dir):
+    texts = _docs(spark, sf_dir).where("text is not null").select(F.col("doc_id").alias("scene_id"), "text")
+    return tagging.controls(texts, 10).select(F.col("pair").cast("long").alias("pair"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def pilot_summary(spark, sf_dir):
+    """Documents as pilot records, their fields made from ids."""
+    i = F.col("doc_id")
+    some = lambda k, c: F.when(i % k == 0, F.array(F.lit(c)))
+    r = _docs(spark, sf_dir).select((i % 5 != 0).alias("parse_ok"), (i % 7 == 0).alias("control"), F.when(i % 9 != 0, i % 8).cast("int").alias("coherence_score"), (i % 3).alias("n_junctions"), F.when(i % 11 == 0, F.array(F.lit(1))).alias("broken_junctions"), some(2, "a").alias("places"), some(3, "b").alias("invented_terms"), some(4, "c").alias("entities_unfound"), some(13, "tone").alias("missing_schema_keys"))
+    return tagging.pilot_summary(r)
+
+
+def overflow_use(spark, sf_dir):
+    return tagging.overflow_use(_all(spark, sf_dir).select(F.array("lang", F.upper("source")).alias("overflow")))
+
+
+def overflow_top(spark, sf_dir):
+    return tagging.top_overall(overflow_use(spark, sf_dir), 15)
+
+
+def label_top(spark, sf_dir):
+    return tagging.top_overall(tagging.label_use(_tags(spark, sf_dir)), 20)
+
+
+def manifest_label_use(spark, sf_dir):
+    return tagging.manifest_label_use(_split_docs(spark, sf_dir).select(F.col("doc_id").alias("scene_id"), "split"), _tags(spark, sf_dir).where(F.col("scene_id").cast("long") % 3 != 0))
+
+
+def scalar_facets(spark, sf_dir):
+    """Documents as tag replies with a scalar, a list, a number and a null facet."""
+    reply = F.to_json(F.struct("lang", F.array("source", "lang").alias("setting"), (F.col("doc_id") % 10).alias("score")))
+    m = tagging.as_lists(reply)
+    return _all(spark, sf_dir).select("doc_id", F.concat_ws("|", m["lang"]).alias("lang"), F.concat_ws("|", m["setting"]).alias("setting"), m["score"].isNull().alias("no_score"))
+
+
+def _instructions(spark, sf_dir) -> DataFrame:
+    d = _heavy(spark, sf_dir)
+    return d.select("doc_id", F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("Write no. "), F.col("doc_id"))).alias("instruction"), F.when(F.col("doc_id") % 15 == 0, F.lit(" x ")).otherwise(F.col("text")).alias("output"))
+
+
+def validation_counts(spark, sf_dir):
+    return trainset.validation(trainset.judged(_instructions(spark, sf_dir), min_chars=5))
+
+
+def _cut(spark, sf_dir) -> DataFrame:
+    return trainset.fitted(trainset.tokenized(trainset.extracted(_instructions(spark, sf_dir)), trainset.word_encoder, 2), 256, "truncate")
+
+
+def truncated_rows(spark, sf_dir):
+    return _cut(spark, sf_dir).select("doc_id", "length", "truncated", F.size("labels").alias("n_labels"))
+
+
+def padded_batches(spark, sf_dir):
+    rows = trainset.padded(_cut(spark, sf_dir).withColumn("batch", F.col("doc_id") % 50), "batch", 0)
+    return rows.select("doc_id", F.size("input_ids").alias("width"), F.size("labels").alias("n_labels"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"))
+
+
+MORE = ("fetch_segments", "marked_scenes", "latest_tags", "slugs", "version_order", "durations", "bucket_shares", "pass_counts", "boundary_hits", "keyword_analysis", "given_scores", "projected_cost", "top_scores", "manifest_scenes", "missing_keys", "seeded_sample", "sample_rejects", "control_pairs", "pilot_summary", "overflow_use", "overflow_top", "label_top", "manifest_label_use", "scalar_facets", "validation_counts", "truncated_rows", "padded_batches")
 NAMES = ("scene_assembly", "row_scenes", "scene_count", "segment_count_distribution", "candidate_scenes", "seam_offsets", "clean_text", "token_estimate", "text_metrics", "scene_score", "analysis_summary", "length_score", "keyword_hits", "keyword_filter", "length_gate", "split_chunks", "exact_dedup", "near_dup_survivors", "mmr_select", "train_val_split", "bucket_sample", "profile_crosstab", "segment_coverage", "token_histogram", "corpus_stats", "corpus_ttr", "length_histogram", "length_percentiles", "vocab_candidates", "label_topk", "label_use", "facet_coverage", "closed_tag_whitelist", "resume_todo", "tagged_corpus", "entity_grounding", "chat_examples", "mask_labels", "curate_whole", "curate_corpus")
 
 
 def queries() -> dict:
-    return {n: globals()[n] for n in NAMES}
+    return {n: globals()[n] for n in NAMES + MORE}

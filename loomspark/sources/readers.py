@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 MANIFEST = "scene_id string, chunk_index int, split string, estimated_tokens int, text string"
 TAGS = "scene_id string, text string, parse_ok boolean, facets map<string,array<string>>, overflow array<string>"
@@ -31,6 +32,18 @@ def jsonl(spark: SparkSession, path: str, schema: str | None = None, strict: boo
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def corpus(spark: SparkSession, train: str, val: str | None) -> DataFrame:
+    """(text, split) of the training and validation files of a corpus; a missing or empty file adds no rows."""
+    parts = []
+    for path, split in ((train, "train"), (val, "val")):
+        try:
+            rows = jsonl(spark, path, "text string", strict=False) if path else None
+        except AnalysisException:  # no such file
+            rows = None
+        parts.append((rows if rows is not None else spark.createDataFrame([], "text string")).withColumn("split", F.lit(split)))
+    return parts[0].unionByName(parts[1])
+
+
 def segments(spark: SparkSession, url: str, table: str = "segments", scene: str = "scene_id", pos: str = "pos", text: str = "text", **options) -> DataFrame:
     """Segments of a database over JDBC, under the standard names; the projection and null filter run in the database."""
     rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
@@ -45,7 +58,11 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> list[str]:
     """Lines of a small settings file, by Spark's reader, so that any store will do."""
-    return [x.strip() for x in spark.read.text(path, wholetext=True).first()[0].splitlines()]
+    try:
+        whole = spark.read.text(path, wholetext=True).first()
+    except AnalysisException:  # no such file
+        return []
+    return [x.strip() for x in whole[0].splitlines()] if whole else []
 
 
 def keywords(spark: SparkSession, path: str | None, distinct: bool = False) -> list[str]:
@@ -77,7 +94,19 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Run records, newest first; unreadable ones keep their name and nulls."""
+    """Runs, newest first, with whether they left an adapter and how many checkpoints; those whose record is unreadable or missing keep their name and nulls."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "modificationTime")
+    inside = F.regexp_extract("path", "^.*?" + re.escape(folder.rstrip("/").rpartition("/")[2]) + r"/([^/]+)/(.+)$", 2)
+    name = F.regexp_extract("path", "^.*?" + re.escape(folder.rstrip("/").rpartition("/")[2]) + r"/([^/]+)/(.+)$", 1)
+    each = files.select(name.alias("name"), inside.alias("f"), "modificationTime").where("name <> ''").groupBy("name").agg(F.bool_or(F.col("f").startswith("adapter/")).alias("adapter"), F.countDistinct(F.when(F.col("f").startswith("checkpoints/"), F.split("f", "/")[1])).alias("checkpoints"), F.max("modificationTime").alias("_m"))
+    known = run_records(spark, folder) if each.limit(1).count() else None
+    if known is None:
+        return spark.createDataFrame([], "name string, created string, r int, epochs double, examples long, loss double, modified timestamp, adapter boolean, checkpoints long")
+    return each.join(known, "name", "left").select("name", "created", "r", "epochs", "examples", "loss", F.coalesce("modified", "_m").alias("modified"), "adapter", "checkpoints").orderBy(F.desc("modified"), "name")
+
+
+def run_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, created, r, epochs, examples, loss, modified) of run records; unreadable ones keep their name and nulls."""
     rows = spark.read.schema(RUNS).option("multiLine", True).json(f"{folder}/*/run.json").select("*", F.col("_metadata.file_modification_time").alias("modified"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/run\.json$", 1).alias("folder"))
     shown = rows.select(F.col("folder").alias("name"), F.substring(F.replace("created", F.lit("T"), F.lit(" ")), 1, 16).alias("created"), F.col("lora.r").alias("r"), F.col("train_config.epochs").alias("epochs"), F.col("corpus.train.examples").alias("examples"), F.round("metrics.train_loss", 3).alias("loss"), "modified")
-    return shown.orderBy(F.desc("modified"), "name")
+    return shown

@@ -38,10 +38,11 @@ def vocabulary(counts: DataFrame, path: str, least: int = 1) -> None:
     kept.select(F.col("f").cast("int"), "facet", "kind", F.col("o").cast("long"), "label", "value").unionByName(heads).orderBy("f", "kind", "o", "label").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
-def statistics_report(stats: DataFrame) -> str:
-    """corpus_stats() as Markdown."""
+def statistics_report(stats: DataFrame, histogram: DataFrame | None = None) -> str:
+    """corpus_stats() as Markdown, with length_histogram() where given."""
     r = stats.first()
     if r is None:
         return "# Corpus statistics\n\nNo chunks.\n"
     names = [c for c in stats.columns if c != "flags"]
-    return "\n".join(["# Corpus statistics", "", *(f"- {c}: {r[c]}" for c in names), "", "## Flags", *(f"- {x}" for x in (r["flags"].split(",") if r["flags"] else ["none"]))]) + "\n"
+    bins = [] if histogram is None else ["", "## Lengths", *(f"- bin {b['bin']}: {b['n']}" for b in histogram.orderBy("bin").collect())]
+    return "\n".join(["# Corpus statistics", "", *(f"- {c}: {r[c]}" for c in names), "", "## Flags", *(f"- {x}" for x in (r["flags"].split(",") if r["flags"] else ["none"])), *bins]) + "\n"

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
+from loomspark.functions import replies
 from loomspark.operators import tagging
 from loomspark.sources import readers, writers
 
-_REPLY = "map<string,array<string>>"
 
 
 def records(scenes: DataFrame, tagger: tagging.Tagger, vocab: dict[str, list[str]]) -> DataFrame:
     """Tag records of scenes (scene_id, text): labels outside the vocabulary dropped, failures marked."""
-    got = tagging.tagged(scenes.select(F.col("scene_id").cast("string").alias("scene_id"), "text"), tagger).withColumn("_m", F.from_json("reply", _REPLY))
+    got = tagging.tagged(scenes.select(F.col("scene_id").cast("string").alias("scene_id"), "text"), tagger).withColumn("_m", replies.facets("reply"))
     facets = F.create_map(*(x for f, v in vocab.items() if v for x in (F.lit(f), tagging.whitelisted(F.col("_m")[f], v))))
     ok = F.col("_m").isNotNull()
     return got.select("scene_id", "text", ok.alias("parse_ok"), F.when(ok, facets).alias("facets"), F.when(ok, F.coalesce(F.col("_m")["overflow"], F.array().cast("array<string>"))).alias("overflow"))
