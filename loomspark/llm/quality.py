@@ -26,6 +26,8 @@ from loomspark.llm._words import word_codes
 SIZE = 1 << 18
 _PAIRS, _CODES = 1 << 16, 8
 _EXTRA = 1 + _CODES**2 + _CODES**4
+#: Bits of the map of labelled ids: 8 MB to broadcast, whatever the data.
+MARKS = 1 << 26
 _SCORE = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -105,11 +107,26 @@ def _margin(u: np.ndarray, v: np.ndarray, sq: np.ndarray) -> float:
     return float(v[u].sum()) / max(1e-9, float(np.sqrt(sq[u].sum())))
 
 
+def marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id may be in ids: all that are, and of the others a share of at most len(ids) / MARKS.
+
+    The ids become a bitmap of hash slots, MARKS bits in all, against which rows are held where they are
+    read: a join by doc_id that follows shuffles few rows without a partner. Ids beyond MARKS only fill the map.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+    bits = ids.groupBy(F.bitmap_bucket_number(slot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("_bits"))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, (at % 8).cast("int")) == 1
+    return rows.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("_bucket")).where(on).select(rows.columns)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> dict:
     """The model: v (weight of each feature), sq (squared scale), a, b; or a constant p."""
     B.modest(docs.sparkSession)
-    one = labels.where("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") > 0.5).alias("y"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(B.crc_mod("doc_id", 4) != 2).join(one, "doc_id")
+    known = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(B.crc_mod("doc_id", 4) != 2)
+    one = known.groupBy("doc_id").agg((F.avg("quality") > 0.5).alias("y"))
+    rows = marked(docs.select(*B.plain_columns()).where(B.crc_mod("doc_id", 4) != 2), known).join(one, "doc_id")
 
     def made(it):
         for b in it:

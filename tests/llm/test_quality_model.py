@@ -61,3 +61,16 @@ def test_hinge_ends_at_its_bounds():
     x = [np.array([0], np.int32)] * 4
     w = Q.descend(x, np.array([1.0, 1.0, 1.0, -1.0]), np.ones(1), np.full(4, 0.1), epochs=100)
     assert abs(w[0] - 0.2) < 1e-9
+
+
+def test_marked_keeps_every_listed_id(spark, monkeypatch):
+    """All rows of listed ids pass, repeated ones as often as they are there; others pass only where they share a slot."""
+    ids = [(i,) for i in range(-500, 4000, 3)] + [(1 << 62,), (7,), (7,)]
+    rows = spark.createDataFrame([(i, "x") for i in [*range(-500, 4000), 1 << 62, 7]] + [(None, "n")], "doc_id long, text string")
+    listed = {i for i, in ids}
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(Q, "MARKS", bits)
+        got = [r[0] for r in Q.marked(rows, spark.createDataFrame(ids, "doc_id long")).collect()]
+        assert sorted(i for i in got if i in listed) == sorted([*listed, 7])
+        assert len([i for i in got if i not in listed]) <= (5 if bits > 1 << 20 else 400)
+    assert not Q.marked(rows, spark.createDataFrame([], "doc_id long")).collect()
