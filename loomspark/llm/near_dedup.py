@@ -14,11 +14,12 @@ links; its least doc_id stays.
    hashes), so either kind of link has its own; texts with equal features become one representative.
 3. Buckets of equal members count once. The members of a bucket of up to ``small`` meet in one task and
    are compared in full, through their weights, but for those that links have joined already. In a
-   larger one the least members lead, and all others are compared with them, in parallel; those that
-   none matches are the next round's bucket, with twice as many leaders. A fifth of the bands goes
-   first; of the others, buckets that lie within one component by then are left out. A long text counts
-   as several members (one for each 64 KB of features), so what a task holds has a bound in bytes.
-4. Links become components by label propagation with pointer jumping.
+   larger one the least members lead, and all others are compared with them, in parts of ``small`` by
+   ``small``; those that none matches are the next round's bucket, with four times as many leaders. A
+   fifth of the bands goes first; of the others, buckets that lie within one component by then are left
+   out. A long text counts as several members (one for each 64 KB of features), so what a task holds has
+   a bound in bytes.
+4. Links become components: up to ``FEW_LINKS`` in one task, more by label propagation with pointer jumping.
 5. Members that a leader matched are compared with those it was tested with that lie in other
    components still, in parts of ``small`` by ``small``. Both distances (1 - Jaccard) are metrics: a pair
    whose distances to the leader differ by more than 1 - threshold, in both, is no link.
@@ -47,8 +48,11 @@ from loomspark.llm._words import fold, hash64, word_codes
 
 WORDS, HASH_BITS = 5, 48
 _TO_SPACE = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+_TESTED = "lead long, rep long, w long, weighted double, plain double"
 _ROWS = "doc_id long, candidate boolean, same binary, bands array<long>, features binary"
 _LIMIT = 12 << 20
+#: So many different links, 32 MB, are joined in one task; more of them by rounds of joins.
+FEW_LINKS = 1 << 21
 
 
 def plain(texts: pa.Array) -> pa.Array:
@@ -204,9 +208,33 @@ def sampled(docs: DataFrame, threshold: float, bands: int, rows: int) -> DataFra
     return B.exchange(docs, keys, answer, finish, _ROWS, limit=_LIMIT)
 
 
-def components(links: DataFrame) -> DataFrame:
+def least_ids(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of links, ascending, and the least id of each one's component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (root[u] != root[v]).any():
+        lo, hi = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
+        np.minimum.at(root, hi, lo)
+        while (root[root] != root).any():
+            root = root[root]
+    return ids, ids[root]
+
+
+def _joined(it):
+    got = [b for b in it if len(b)]
+    ids, label = least_ids(*(np.concatenate([b.column(k).to_numpy() for b in got] or [np.empty(0, np.int64)]) for k in (0, 1)))
+    yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(label, pa.int64())], ["id", "label"])
+
+
+def components(links: DataFrame, few: int | None = None) -> DataFrame:
     """(id, label) for each end of links (a, b): the least id of its component."""
-    both = B.stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct())
+    pairs = B.stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if pairs.count() <= (FEW_LINKS if few is None else few):
+        labels = B.stored(pairs.coalesce(1).mapInArrow(_joined, "id long, label long"))
+        B.forget(pairs)
+        return labels
+    both = B.stored(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))))
+    B.forget(pairs)
     labels = B.stored(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
@@ -222,12 +250,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _linked(threshold: float, n: int):
-    """Links that join the members of one small bucket: each member against the members of all other groups so far."""
+    """Links that join the members of one small bucket: each member against the members of all other groups so far, first those of its part."""
 
     def run(t: pa.Table) -> pa.Table:
         reps = t["rep"].to_pylist()
         sets = [weighed(f, n) for f in t["features"].to_pylist()]
-        group, out = list(range(len(reps))), []
+        group, out = t["part"].to_pylist(), []
         for i in range(len(reps)):
             for j in range(i):
                 if group[i] != group[j] and similarity(sets[i], sets[j], threshold) >= threshold:
@@ -276,12 +304,18 @@ def crossing(tested: DataFrame, labels: DataFrame, features, threshold: float, n
     gap = 1 - threshold + 1e-9
     close = lambda c: F.when(F.col("inside"), F.col(c) - F.col(f"out_{c}") <= gap).otherwise(F.col(f"in_{c}") - F.col(c) <= gap)
     t = B.stored(t.join(ends.where("in_plain is not null and out_plain is not null").hint("merge"), "lead").where(close("weighted") | close("plain")).select("lead", "rep", "w", "weighted", "plain", "label", "inside"))
-    parts = t.groupBy("lead").agg(F.ceil(F.sum(F.when(F.col("inside"), F.col("w"))) / small).cast("int").alias("n_in"), F.ceil(F.sum(F.when(~F.col("inside"), F.col("w"))) / small).cast("int").alias("n_out")).where("n_in > 0 and n_out > 0")
+    return B.stored(_in_parts(features(t), t, ["lead"], small).applyInArrow(_crossed(threshold, n), "a long, b long"))
+
+
+def _in_parts(rows: DataFrame, weighed_rows: DataFrame, by: list[str], small: int):
+    """rows of two sides (inside or not), grouped so that each of one side meets each of the other, in parts of weight ``small`` by ``small``."""
+    side = lambda inside: F.ceil(F.sum(F.when(F.col("inside") if inside else ~F.col("inside"), F.col("w"))) / small).cast("int")
+    parts = weighed_rows.groupBy(*by).agg(side(True).alias("n_in"), side(False).alias("n_out")).where("n_in > 0 and n_out > 0")
     own = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("n_in")).otherwise(F.col("n_out"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("n_out")).otherwise(F.col("n_in")) - 1))
-    t = features(t).join(parts.hint("merge"), "lead").select("lead", "rep", "weighted", "plain", "label", "inside", "features", own.alias("own"), other.alias("other"))
+    t = rows.join(parts.hint("merge"), by).select(*rows.columns, own.alias("own"), other.alias("other"))
     t = t.withColumn("i", F.when(F.col("inside"), F.col("own")).otherwise(F.col("other"))).withColumn("j", F.when(F.col("inside"), F.col("other")).otherwise(F.col("own")))
-    return B.stored(t.drop("own", "other").groupBy("lead", "i", "j").applyInArrow(_crossed(threshold, n), "a long, b long"))
+    return t.drop("own", "other").groupBy(*by, "i", "j")
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int = 5, small: int = 256) -> DataFrame:
@@ -290,12 +324,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 28, rows: int
 
 
 def _compared(n: int):
-    """Similarities of pairs (lead, rep, w, fa, fb)."""
+    """Similarities of the leaders (inside) in one part with the members in it that have greater ids."""
 
-    def run(it):
-        for t in it:
-            s = [similarities(weighed(x, n), weighed(y, n)) for x, y in zip(t.column(3).to_pylist(), t.column(4).to_pylist())]
-            yield pa.record_batch([*t.columns[:3], *(pa.array([v[k] for v in s], pa.float64()) for k in (0, 1))], ["lead", "rep", "w", "weighted", "plain"])
+    def run(t: pa.Table) -> pa.Table:
+        inside, reps, w = (t[c].to_pylist() for c in ("inside", "rep", "w"))
+        sets, out = [weighed(f, n) for f in t["features"].to_pylist()], []
+        for i in (i for i, head in enumerate(inside) if head):
+            out += [(reps[i], reps[j], w[j], *similarities(sets[i], sets[j])) for j, head in enumerate(inside) if not head and reps[i] < reps[j]]
+        return B.table(_TESTED, *(zip(*out) if out else [[]] * 5))
 
     return run
 
@@ -304,42 +340,48 @@ def _bucket_links(rows: DataFrame, features, threshold: float, n: int, small: in
     """(links, tests) of the buckets of rows (key, rep, w, part); those within one part have nothing to add.
 
     A bucket of weight ``small`` or less is one task. In a larger one, the least members lead: one in the
-    first round, twice as many in each further one, so a bucket of n takes some ln n rounds even if nothing matches.
+    first round, four times as many in each further one, so a bucket of n takes some log n rounds even if nothing matches.
+    The features of members of large buckets are set apart once: rounds don't read those of all texts again.
     """
-    links, tests, leaders, open_ = [], [], 1, rows
+    links, tests, leaders, open_, apart = [], [], 1, rows, None
     while True:
         # equal buckets of several bands, by weight, least member and a fingerprint, count once
         each = open_.groupBy("key").agg(F.sum("w").alias("n"), F.min("rep").alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi")
         buckets = B.stored(each.groupBy("n", "lead", "x").agg(F.min("key").alias("key")).select("key", "n", "lead"))
         met = open_.join(buckets.hint("merge"), "key")
         few, many = met.where(F.col("n") <= small), met.where(F.col("n") > small)
-        got = B.stored(features(few.select("key", "rep")).select("key", "rep", "features"))
-        links.append(B.stored(got.groupBy("key").applyInArrow(_linked(threshold, n), "a long, b long")))
-        B.forget(got)
+        links.append(B.stored(features(few.select("key", "rep", "part")).groupBy("key").applyInArrow(_linked(threshold, n), "a long, b long")))
         if not buckets.where(F.col("n") > small).limit(1).count():
-            B.forget(buckets, open_)
+            B.forget(buckets, open_, apart)
             return links, tests
         many = B.stored(many.select("key", "rep", "w", "part", "lead"))
+        if apart is None:
+            apart = B.stored(features(many.select("rep").distinct()).select("rep", "features"))
+            features = functools.partial(_with, apart)
         if leaders == 1:
-            heads = many.where("rep = lead").select("key", "lead")
+            heads = many.where("rep = lead").select("key", F.col("lead").alias("rep"), "w")
         else:
             first = Window.partitionBy("key").orderBy("rep")  # limited before the shuffle too
-            heads = many.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= leaders).select("key", F.col("rep").alias("lead"))
+            heads = many.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= leaders).select("key", "rep", "w")
         heads = B.stored(heads)
-        pairs = many.drop("lead").join(heads, "key").where("lead < rep")
-        need = pairs.select("lead", "rep", "w").distinct()
-        a = features(heads.select(F.col("lead").alias("rep")).distinct()).select(F.col("rep").alias("lead"), F.col("features").alias("fa"))
-        b = features(need).withColumnRenamed("features", "fb")
-        tested = B.stored(b.join(a, "lead").select("lead", "rep", "w", "fa", "fb").mapInArrow(_compared(n), "lead long, rep long, w long, weighted double, plain double"))
+        # buckets with the same leaders are tested as one, so bands with the same members don't repeat it
+        led = heads.groupBy("key").agg(F.xxhash64(F.count("*"), F.min("rep"), F.bit_xor(F.xxhash64("rep"))).alias("led"))
+        sides = heads.withColumn("inside", F.lit(True)).unionByName(many.select("key", "rep", "w").withColumn("inside", F.lit(False)))
+        sides = B.stored(sides.join(led.hint("merge"), "key").select("led", "rep", "w", "inside").distinct())
+        tested = B.stored(_in_parts(features(sides), sides, ["led"], small).applyInArrow(_compared(n), _TESTED))
         tests.append(tested)
-        like = F.greatest("weighted", "plain") >= threshold
-        links.append(tested.where(like).select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+        like = tested.where(F.greatest("weighted", "plain") >= threshold)
+        links.append(like.select(F.col("lead").alias("a"), F.col("rep").alias("b")))
         # on go those that led nothing and that no leader of their bucket matched
-        matched = pairs.join(tested.where(like).select("lead", "rep"), ["lead", "rep"], "left_semi").select("key", "rep")
-        gone = matched.unionByName(heads.select("key", F.col("lead").alias("rep"))).distinct()
+        matched = heads.select("key", F.col("rep").alias("lead")).join(like.select("lead", "rep").distinct(), "lead").select("key", "rep")
+        gone = matched.unionByName(heads.select("key", "rep")).distinct()
         rest = B.stored(many.drop("lead").join(gone, ["key", "rep"], "left_anti"))
-        B.forget(buckets, many, heads, open_)
-        open_, leaders = rest, min(2 * leaders, 64)
+        B.forget(buckets, many, heads, sides, open_)
+        open_, leaders = rest, 4 * leaders
+
+
+def _with(apart: DataFrame, rows: DataFrame) -> DataFrame:
+    return rows.join(apart, "rep")
 
 
 def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, small: int = 256) -> DataFrame:
@@ -348,6 +390,7 @@ def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, s
     # a long text counts as several members, so a task's features have a bound in bytes
     reps = B.bucketed(least.withColumn("w", 1 + F.floor(F.length("features") / F.lit(1 << 16))), "same")
     ids = B.stored(reps.select("rep", "same"))
+    B.settle(table.sparkSession)
     links, tests, labels, made = [], [], None, [ids]
 
     def features(rows: DataFrame) -> DataFrame:
@@ -366,6 +409,7 @@ def grouped(table: DataFrame, n: int, threshold: float = 0.8, bands: int = 28, s
         more, tried = _bucket_links(rows, features, threshold, n, small)
         links, tests = links + more, tests + tried
         labels = components(functools.reduce(DataFrame.unionByName, links))
+        B.settle(table.sparkSession)
     again = []
     if tests:
         again.append(crossing(functools.reduce(DataFrame.unionByName, tests), labels, features, threshold, n, small))

@@ -66,3 +66,32 @@ def test_plain_draws_estimate_jaccard():
     rng, s = np.random.default_rng(0), N.Sampler(2000)
     u = np.unique(rng.integers(0, 2**48, 100, np.uint64))
     assert abs((s.plain_draws(u[:80]) == s.plain_draws(u[20:])).mean() - 0.6) < 0.04
+
+
+def test_near_rounds_of_a_bucket_without_links(spark, monkeypatch):
+    # nothing matches: the leaders multiply, so 400 members take a few rounds
+    rnd, made, stored = random.Random(3), [], B.stored
+    table, n, want, links = in_one_bucket(spark, {i: " ".join(f"{rnd.randrange(10**6)}x{i}" for _ in range(20)) for i in range(400)})
+    monkeypatch.setattr(B, "stored", lambda df, *a: made.append(df.columns) or stored(df, *a))
+    got = {r.doc_id: r.class_id for r in N.grouped(table, n, small=4).collect()}
+    assert not links and got == want
+    assert made.count(["lead", "rep", "w", "weighted", "plain"]) <= 6
+
+
+def test_near_components_in_one_task_and_in_rounds(spark):
+    rnd = random.Random(4)
+    pairs = [(rnd.randrange(300) - 150, rnd.randrange(300) - 150) for _ in range(160)]
+    want = least_of({i for p in pairs for i in p}, pairs)
+    links = spark.createDataFrame(pairs, "a long, b long")
+    for few in (0, 1000):
+        assert {r.id: r.label for r in N.components(links, few).collect()} == want
+    assert N.components(links.limit(0)).count() == 0
+
+
+def test_near_small_bucket_leaves_out_what_is_joined():
+    import pyarrow as pa
+
+    u, one = np.arange(10, dtype=np.uint64), np.ones(10, np.uint32)
+    f = B.pack(np.diff(u, prepend=np.uint64(0)), one, one)
+    t = pa.table({"rep": [1, 2, 3], "part": [1, 1, 3], "features": [f, f, f]})
+    assert N._linked(0.8, 3)(t).to_pylist() == [{"a": 1, "b": 3}]
