@@ -69,13 +69,13 @@ def features(texts: pa.Array):
 def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = 30) -> np.ndarray:
     """Weights of min |w|^2/2 + sum cost * max(0, 1 - y w.x) by dual coordinate descent (0 <= alpha <= cost); x: scaled indicators of unit length."""
     w, alpha = np.zeros(len(scale)), np.zeros(len(rows))
-    xs = [scale[u] for u in rows]
-    xs = [x / max(1e-9, float(np.sqrt(x @ x))) for x in xs]
+    length = [max(1e-9, float(np.sqrt(x @ x))) for x in (scale[u] for u in rows)]  # the rows themselves, kept as doubles, would be twice the sample
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         worst = 0.0
         for i in rng.permutation(len(rows)):
-            u, x = rows[i], xs[i]
+            u = rows[i]
+            x = scale[u] / length[i]
             step = min(max(alpha[i] + 1 - y[i] * float(w[u] @ x), 0.0), cost[i]) - alpha[i]  # x.x is 1
             if step:
                 alpha[i] += step
@@ -156,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> dict:
     got = table.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("doc_id", "y", "f").limit(2 * sample).collect()
     got.sort(key=lambda r: r[0])
     y = np.array([1.0 if r[1] else -1.0 for r in got])
-    x = [np.frombuffer(bytes(r[2]), np.int32) for r in got]
+    x = [np.frombuffer(r[2], np.int32) for r in got]
     aside = np.arange(len(x)) % 5 == 0
     if len(set(y[aside])) < 2 or len(set(y[~aside])) < 2:
         aside[:] = True
@@ -165,6 +165,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10000) -> dict:
     w = descend([x[i] for i in fit], y[fit], scale, np.array([weight[s] for s in y[fit]]))
     v, sq = w * scale, scale**2
     a, b = calibrate(np.array([_margin(x[i], v, sq) for i in np.flatnonzero(aside)]), y[aside])
+    del got, x
+    B.settle(docs.sparkSession)
     return {"v": v.astype(np.float32), "sq": sq.astype(np.float32), "a": a, "b": b}
 
 

@@ -74,3 +74,18 @@ def test_marked_keeps_every_listed_id(spark, monkeypatch):
         assert sorted(i for i in got if i in listed) == sorted([*listed, 7])
         assert len([i for i in got if i not in listed]) <= (5 if bits > 1 << 20 else 400)
     assert not Q.marked(rows, spark.createDataFrame([], "doc_id long")).collect()
+
+
+def test_descend_keeps_no_copy_of_the_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(5000, 2000, replace=False)).astype(np.int32) for _ in range(300)]
+    y = np.where(np.arange(300) % 2, 1.0, -1.0)
+    tracemalloc.start()
+    try:
+        Q.descend(rows, y, rng.normal(size=5000), np.ones(300), epochs=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < sum(r.nbytes for r in rows) / 2
