@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as X
 
 IGNORED = -100
+#: Fixed value: ids below it are the stand-in tokenizer's padding, begin and end tokens, which no word gets.
+_SPECIAL_IDS = 3
 _CHAT = "array<struct<role:string,content:string>>"
 
 
@@ -97,8 +99,8 @@ def masked(ids: Column, n_prompt: Column) -> Column:
 
 
 def word_encoder(text: Column) -> Column:
-    """A stand-in tokenizer without a model: an id for each run of characters that aren't white space."""
-    return F.transform(F.filter(F.split(text, f"{X.SPACE}+", -1), lambda w: w != ""), lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(32000)).cast("int"))
+    """A stand-in tokenizer without a model: an id for each run of characters that aren't white space, never a special one."""
+    return F.transform(F.filter(F.split(text, f"{X.SPACE}+", -1), lambda w: w != ""), lambda w: (F.pmod(F.crc32(w.cast("binary")), F.lit(32000 - _SPECIAL_IDS)) + _SPECIAL_IDS).cast("int"))
 
 
 def tokenizer_encoder(path: str):
