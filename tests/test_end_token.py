@@ -32,3 +32,7 @@ def check(spark, path, name):
 
 def test_mask_labels(spark, tables):
     check(spark, tables, "mask_labels")
+
+
+def test_padded_batches(spark, tables):
+    check(spark, tables, "padded_batches")
