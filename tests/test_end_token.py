@@ -36,3 +36,7 @@ def test_mask_labels(spark, tables):
 
 def test_padded_batches(spark, tables):
     check(spark, tables, "padded_batches")
+
+
+def test_truncated_rows(spark, tables):
+    check(spark, tables, "truncated_rows")
