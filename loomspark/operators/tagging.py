@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +16,8 @@ from loomspark.functions import text as X
 
 #: Keys of a pilot reply.
 PILOT_KEYS = ("genre", "tone", "setting", "pov", "pacing", "content_elements", "places", "invented_terms", "coherence_score", "coherence_notes", "broken_junctions")
+#: Up to so many labels of a vocabulary are looked for one by one before a label is stripped.
+_FEW = 8
 
 Tagger = Callable[[list[str]], list[str]]
 
@@ -74,9 +78,11 @@ def lexical_tags(words: Column, vocab: dict[str, list[str]]) -> Column:
 
 def whitelisted(labels: Column, allowed: list[str]) -> Column:
     """Labels of the vocabulary, compared stripped and in lower case, the first of equal ones as it was written."""
-    ok = [a.strip().lower() for a in allowed]
+    ok = list(dict.fromkeys(a.strip().lower() for a in allowed))
     low = lambda x: F.lower(X.strip(x))
-    kept = F.array_distinct(F.filter(F.coalesce(labels, F.array().cast("array<string>")), lambda x: x.isNotNull() & (low(x) != "") & low(x).isin(ok)))
+    # stripping costs most: only different labels get to it, and with a short vocabulary only those that hold one of its labels
+    maybe = lambda x: functools.reduce(operator.or_, (F.contains(F.lower(x), F.lit(a)) for a in ok)) if 0 < len(ok) <= _FEW else F.lit(True)
+    kept = F.filter(F.array_distinct(F.coalesce(labels, F.array().cast("array<string>"))), lambda x: x.isNotNull() & maybe(x) & (low(x) != "") & low(x).isin(ok))
     lows = F.transform(kept, low)
     return F.filter(kept, lambda x, i: F.array_position(lows, low(x)) == i + 1)
 
