@@ -20,3 +20,8 @@ def test_near_stores_no_signature_per_band(spark, monkeypatch):
     rows = [(i, 0.5, " ".join(f"w{j}" for j in range(i, i + 9))) for i in range(8)]
     assert dedup.near(dedup.with_signature(spark.createDataFrame(rows, "id long, score double, text string"))).count()
     assert made and not any("band" in c and "signature" in c for c in made)
+
+
+def test_curate_corpus_measures_once(spark, sf_dir):
+    df = queries.curate_corpus(spark, sf_dir)
+    assert "EvalPython" not in plan(df) and "regexp" not in plan(df)
