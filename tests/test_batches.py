@@ -8,7 +8,7 @@ from loomspark.plans.store import BATCH_BYTES
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-@pytest.mark.parametrize("name", ["text_metrics"])
+@pytest.mark.parametrize("name", ["text_metrics", "length_gate"])
 @pytest.mark.parametrize("given,want", [("64m", BATCH_BYTES), ("67108864b", BATCH_BYTES), ("1m", 1 << 20)])
 def test_batches_by_bytes(spark, sf_dir, name, given, want):
     before = spark.conf.get(KEY)
